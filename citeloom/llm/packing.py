@@ -7,36 +7,62 @@ with the largest partner that fits. Smaller pieces then go, largest first, into
 Sizes are integers up to the capacity, so the plan is made on counts of sizes, never on documents: what the driver holds
 depends on the capacity alone. Pieces of a size are numbered without gaps and looked up in the plan by (size, number).
 
-Null texts are empty (one end id). Repeated rows are packed each. Ids equal those of the tokenizers library: words are
-found by the vocabulary's own pattern and encoded once per worker; texts with unusual characters go to the encoder whole,
-and texts that spell a special token go to the tokenizers library itself.
+Null texts are empty (one end id). Repeated rows are packed each. Ids equal those of the tokenizers library: the words of a block
+are cut as the vocabulary's pattern cuts them, and each different one is encoded once per worker (known by a 64-bit hash);
+texts with letters beyond Latin-1 or contractions go to the encoder whole, and texts that may spell a special token go to
+the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize
+from .common import blocks, gapless_rank, materialize, prefix_hashes, span_hash
 
-# Letters, numbers and white space below U+0250, and the contractions of the byte-level vocabulary.
-_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_N = "0-9²³¹¼-¾"
-_S = "\t-\r \u0085 "
-_WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_PLAIN = re.compile("[\x00-\x1b\x20-ɏ]*")
 #: Words that a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_500_000
 _STATE: dict = {}
 
+# Byte classes of the plain path: 0 white space, 1 letter, 2 number, 3 other. Bytes from 0x80 on are letters there.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_QUOTED = np.zeros(256, bool)
+_QUOTED[list(b"sdmtlvr")] = True
+
+
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Places that need the full encoder: other letters than those of Latin-1, contractions, special tokens."""
+    nxt = np.append(data[1:], np.uint8(0))
+    lead = data >= 0xC0
+    bad = (lead & (data != 0xC3)) | ((data == 0xC3) & ((nxt == 0x97) | (nxt == 0xB7)))
+    return np.flatnonzero(bad | ((data == 0x27) & _QUOTED[nxt]) | ((data == 0x3C) & (nxt == 0x7C)))
+
+
+def _word_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the vocabulary's pattern begins a word: at runs of a class, one blank going to the run after it."""
+    n = len(data)
+    cls = _CLASS[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    start = edge[:n].copy()
+    start[1:] |= cls[1:] != cls[:-1]
+    last = np.zeros(n, bool)  # the last white space before something else of the same document
+    last[:-1] = (cls[:-1] == 0) & (cls[1:] != 0) & ~edge[1:n]
+    after_blank = np.zeros(n, bool)
+    after_blank[1:] = last[:-1] & (data[:-1] == 0x20)
+    return np.flatnonzero((start & ~after_blank) | last)
+
 
 class Encoder:
     """text -> little-endian 32-bit ids."""
@@ -47,7 +73,9 @@ class Encoder:
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.json_path, self.words, self.full = json_path, {}, None
+        self.json_path, self.full = json_path, None
+        self._forget()
+        self.single = self.bpe._core_bpe.encode_single_piece
 
     def _whole(self, text: str):
         if self.full is None:
@@ -56,23 +84,51 @@ class Encoder:
             self.full = Tokenizer.from_file(self.json_path)
         return self.full.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return np.array(self._whole(text), "<u4").tobytes()
-        if not _PLAIN.fullmatch(text):
-            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-        words = self.words
-        found = _WORDS.findall(text)
-        try:
-            return b"".join([words[w] for w in found])
-        except KeyError:
-            pass
-        for w in set(found) - words.keys():
-            if len(words) >= CACHE_WORDS and len(w) > 0:
-                words.clear()
-                return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-            words[w] = np.array(self.bpe._encode_single_piece(w), "<u4").tobytes()
-        return b"".join([words[w] for w in found])
+    def encode(self, text: str) -> np.ndarray:
+        """One text by the libraries themselves."""
+        return np.array(self._whole(text) if "<|" in text else self.bpe.encode_ordinary(text), np.uint32)
+
+    def _remember(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
+        """Where the words' ids are kept; new words are encoded."""
+        if len(self.keys) > CACHE_WORDS:
+            self._forget()
+        pos = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[pos] != key) if len(self.keys) else np.arange(len(key))
+        if len(new):
+            single = self.single
+            ids = [single(raw[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            keys = np.concatenate([self.keys, key[new]])
+            order = np.argsort(keys, kind="stable")
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            self.keys = keys[order]
+            pos = np.searchsorted(self.keys, key)
+        return pos
+
+    def _forget(self) -> None:
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.at = self.size = np.zeros(0, np.int64)
+
+    def encode_block(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a block of UTF-8 bytes."""
+        docs = len(offs) - 1
+        odd = np.zeros(docs, bool)
+        odd[np.searchsorted(offs, _odd(data), side="right") - 1] = True
+        starts = _word_starts(data, offs) if len(data) else np.zeros(0, np.int64)
+        starts = starts[~odd[np.searchsorted(offs, starts, side="right") - 1]] if odd.any() else starts
+        doc = np.searchsorted(offs, starts, side="right") - 1
+        ends = np.minimum(np.append(starts[1:], len(data)), offs[doc + 1])
+        key, first, which = np.unique(span_hash(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        pick = self._remember(key, starts[first], ends[first], raw)
+        at, size, flat = self.at[pick], self.size[pick], self.flat
+        n = size[which]
+        total = np.append(0, np.cumsum(n))
+        out = flat[np.repeat(at[which] - total[:-1], n) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(doc, np.arange(docs + 1))]
+        return [self.encode(raw[offs[i] : offs[i + 1]].decode()) if odd[i] else out[bounds[i] : bounds[i + 1]] for i in range(docs)]
 
 
 def encoder(name: str) -> Encoder:
@@ -86,13 +142,12 @@ def encoder(name: str) -> Encoder:
 def _pieces(name: str, cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name)
-        for batch in batches:
+        for batch, data, offs in blocks(batches, "text"):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + b"\0\0\0\0"
+            for doc, x in zip(batch.column("doc_id").to_pylist(), enc.encode_block(data, offs), strict=True):
+                ids = x.astype("<u4").tobytes() + b"\0\0\0\0"
                 n = len(ids) // 4
-                first = n if n <= cap else (n % cap or cap)
-                at, k, take = 0, 0, first
+                at, k, take = 0, 0, n if n <= cap else (n % cap or cap)
                 while at < n:
                     for col, v in zip(out, (doc, k, at, take, zlib.crc32(ids[4 * at : 4 * (at + take)])), strict=True):
                         col.append(v)
