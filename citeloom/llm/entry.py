@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, topk
+from . import langid, langmodel, linededup, packing, sharding, topk
 from .common import table
 
 
@@ -14,6 +14,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,13 +37,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_language_id": op2_language_id,
+        "op4_line_dedup": op4_line_dedup,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_exact_top_k": op10_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_top_k": TOP_K_SQL}
+    return {"op4_line_dedup": linededup.SQL, "op10_exact_top_k": TOP_K_SQL}
 
 
 TOP_K_SQL = """
