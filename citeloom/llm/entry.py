@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, langmodel, linededup, packing, sharding, topk
+from . import langid, langmodel, linededup, neardup, packing, sharding, topk
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_language_id": op2_language_id,
         "op4_line_dedup": op4_line_dedup,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_exact_top_k": op10_exact_top_k,
