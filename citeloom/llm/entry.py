@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, langmodel, linededup, neardup, packing, sharding, topk
+from . import langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_exact_top_k": op10_exact_top_k,
     }
 
