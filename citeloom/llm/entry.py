@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
+from . import decontaminate, htmltext, langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,6 +54,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_language_id": op2_language_id,
+        "op3_html_extraction": op3_html_extraction,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op4_line_dedup": op4_line_dedup,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_lm_scoring": op7_lm_scoring,
