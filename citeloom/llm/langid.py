@@ -205,3 +205,20 @@ def identify(docs: DataFrame) -> DataFrame:
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
     return predict(slim, train(slim, ~F.col("held_out")))
+
+
+def _keeper(model: Model | None, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in blocks(batches, "text"):
+            if model is not None:
+                best, score = model.predict(data, offs)
+                yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose language is identified: not `und`, and the best language has at least `min_score`."""
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    model = train(docs.select("doc_id", "text", "lang", held.alias("held_out")), ~F.col("held_out"))
+    return docs.mapInArrow(_keeper(model, min_score), docs.schema)
