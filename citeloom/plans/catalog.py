@@ -371,7 +371,7 @@ def channel_pool(spark, d):
 
 
 @query(
-    f"""WITH c AS ({fx.CHANNELS_SQL}) SELECT query_id, doc_id, round(least(1.0, sum(CASE channel WHEN 'A' THEN 0.4 WHEN 'N' THEN 0.3 ELSE 0.2 END) + CASE WHEN count(*) >= 3 THEN 0.2 WHEN count(*) >= 2 THEN 0.1 ELSE 0 END), 6) AS score, count(*) AS sources FROM (SELECT DISTINCT query_id, doc_id, channel FROM c) x GROUP BY 1, 2"""
+    f"""WITH c AS ({fx.CHANNELS_SQL}) SELECT query_id, doc_id, round(CAST(least(1.0, sum(CASE channel WHEN 'A' THEN 0.4 WHEN 'N' THEN 0.3 ELSE 0.2 END) + CASE WHEN count(*) >= 3 THEN 0.2 WHEN count(*) >= 2 THEN 0.1 ELSE 0 END) AS DOUBLE), 6) AS score, count(*) AS sources FROM (SELECT DISTINCT query_id, doc_id, channel FROM c) x GROUP BY 1, 2"""
 )
 def evidence_scores(spark, d):
     """Source weights with a bonus for agreement."""

@@ -1,6 +1,7 @@
 """Every query with a SQL counterpart against DuckDB, on the smallest tables; the fold-based operators against plain Python."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def key(v):
-    return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return round(float(v), 5) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.fixture(scope="module")
