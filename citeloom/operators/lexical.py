@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+#: Rows of query terms (some 100 bytes each) that may be broadcast; more are joined by shuffle.
+QUERY_TERMS = 500_000
+
 
 def postings(docs: DataFrame, id_col: str = "doc_id", fields: dict[str, str] | None = None) -> DataFrame:
     """field, term, doc_id, tf. Counts are made per document inside the scan's partition before the shuffle."""
@@ -16,21 +19,33 @@ def postings(docs: DataFrame, id_col: str = "doc_id", fields: dict[str, str] | N
     return docs.select(F.col(id_col).alias("doc_id"), parts.alias("p")).groupBy(F.col("p.field").alias("field"), F.col("p.term").alias("term"), "doc_id").agg(F.count("*").alias("tf"))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, qtf_cap: int | None = 3, weights: dict[str, float] | None = None, fields: dict[str, str] | None = None) -> DataFrame:
-    """query_id, doc_id, score, rk. queries: query_id, query. Only postings of query terms are counted and joined."""
+    """query_id, doc_id, score, rk. queries: query_id, query. Only postings of query terms are counted and joined.
+
+    A posting's weight is settled before the queries come in, so the one join that multiplies rows (postings by the
+    queries that ask for the term) runs on rows dealt by doc_id and is summed where it stands.
+    """
     fields = fields or {"text": "text"}
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     q = q.withColumn("qtf", F.least("qtf", F.lit(qtf_cap))) if qtf_cap else q
-    size = docs.select("doc_id", *[F.size(tokens(F.coalesce(F.col(c), F.lit("")))).alias(f) for f, c in fields.items()])
-    length = size.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("dl")) for f in fields])).alias("l")).select("doc_id", "l.field", "l.dl")
-    avg = length.groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n"))
-    post = postings(docs, fields=fields).join(q.select("term").distinct(), "term", "left_semi")
+    few = _small(q, QUERY_TERMS)
+    part = lambda f, c: F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("ws"))
+    words = docs.select("doc_id", F.explode(F.array(*[part(f, c) for f, c in fields.items()])).alias("p")).select("doc_id", "p.field", "p.ws", F.size("p.ws").alias("dl"))
+    avg = words.groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n"))
+    asked = _small(q.select("term").distinct(), QUERY_TERMS)
+    post = words.select("doc_id", "field", "dl", F.explode("ws").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
-    part = post.join(q, "term").join(df, ["field", "term"]).join(length, ["doc_id", "field"]).join(F.broadcast(avg), "field")  # a row a field
+    df = F.broadcast(df) if few is not q else df  # a row for each field and term asked for
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.lit(1.0) if not weights else F.coalesce(F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(w))])[F.col("field")], F.lit(0.0))
-    s = F.sum(weight * F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    scored = part.groupBy("query_id", "doc_id").agg(s.alias("score"))
+    s = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighed = post.join(df, ["field", "term"]).join(F.broadcast(avg), "field").select("doc_id", "term", s.alias("s"))  # avg: a row a field
+    scored = weighed.repartition("doc_id").join(few, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("s") * F.col("qtf")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
