@@ -22,14 +22,22 @@ SPARSE, LEAST, BROADCAST_ROWS = 3, 2, 400_000
 _LAST = (1 << 63) - 1
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however the planner merges projections."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunks(lines: Column) -> Column:
     """array<struct<s, n>>: where each chunk begins (from 1) and its lines."""
+
+    def pairs(hashes: Column) -> Column:
+        zero = F.array(F.lit(0).cast("long"))
+        return F.slice(F.zip_with(F.concat(zero, hashes), F.concat(hashes, zero), lambda a, b: (a * 31 + b) % SPARSE), 1, F.size(lines))
+
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(F.encode(x, "UTF-8")), 1, 8), 16, 10).cast("long"))
-    pairs = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), hashes), F.concat(hashes, F.array(F.lit(0).cast("long"))), lambda a, b: (a * 31 + b) % SPARSE)
-    marked = F.transform(F.slice(pairs, 1, F.size(lines)), lambda r, i: F.when(r == 0, i + 2))
+    marked = F.transform(_let(hashes, pairs), lambda r, i: F.when(r == 0, i + 2))
     starts = F.array_distinct(F.concat(F.array(F.lit(1)), F.filter(marked, lambda p: p.isNotNull() & (p <= F.size(lines)))))
-    after = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines) + 1))
-    return F.zip_with(starts, after, lambda a, b: F.struct(a.alias("s"), (b - a).alias("n")))
+    return _let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(lines) + 1)), lambda a, b: F.struct(a.alias("s"), (b - a).alias("n"))))
 
 
 def _lines(text: Column) -> Column:
@@ -54,13 +62,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The input's columns with `text` rewritten, and n_lines, n_removed (lines)."""
     keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     joined = keyed.join(_repeated(keyed.where(F.col("text").isNotNull())), "_k", "left")
-    lines = _lines(F.col("text"))
-    dead = F.flatten(F.transform(F.filter(chunks(lines), lambda c: F.array_contains("gone", c["s"])), lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))
-    joined = joined.withColumn("_dead", F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), dead))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_dead", i + 1))
-    text = F.when(F.col("_dead").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    return joined.select(*[F.col(c) if c != "text" else text.alias("text") for c in docs.columns], n.alias("n_lines"), F.when(F.col("_dead").isNull(), 0).otherwise(F.size("_dead")).alias("n_removed"))
+    left = lambda l: F.flatten(F.transform(F.filter(chunks(l), lambda c: ~F.array_contains("gone", c["s"])), lambda c: F.slice(l, c["s"], c["n"])))
+    cut = lambda l: _let(left(l), lambda k: F.struct(F.array_join(k, "\n").alias("text"), F.size(l).alias("n"), (F.size(l) - F.size(k)).alias("gone")))
+    whole = F.struct("text", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).alias("n"), F.lit(0).alias("gone"))
+    hit = F.col("gone").isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn("_out", F.when(hit, _let(_lines(F.col("text")), cut)).otherwise(whole))
+    return out.select(*[F.col(c) if c != "text" else F.col("_out.text").alias("text") for c in docs.columns], F.col("_out.n").alias("n_lines"), F.col("_out.gone").alias("n_removed"))
 
 
 SQL = f"""
