@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,8 +65,17 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: a worker process lives through many tasks of different sizes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of at most `limit` bytes of text: (rows, bytes, offsets)."""
+    seen = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,6 +86,9 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             hi = min(n, max(lo + 1, hi))
             yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             lo = hi
+        seen += len(data)
+    if seen > limit:
+        _release()
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
