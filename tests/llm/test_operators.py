@@ -179,6 +179,17 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(d, none).count() == 0
 
 
+def test_decontamination_of_a_frequent_item(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(2000)]
+    item = "the quick crimson llama silently ordered seventeen purple lanterns before dawn arrived. Its answer was marigold under glass."
+    other = item.replace("crimson", "tall").replace("purple", "dim")  # 16 of 18 words
+    rows = [(i, " ".join(rng.choices(vocab, k=70)) + (f" {other if i % 30 == 0 else item} " if i % 3 == 0 else " ") + " ".join(rng.choices(vocab, k=70))) for i in range(600)]
+    rows.append((900, " ".join(rng.choices(vocab, k=40000)) + f" {item} " + " ".join(rng.choices(vocab, k=30000))))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 7) for i in [*range(0, 600, 3), 900]}
+
+
 def test_html(spark):
     pages = [
         (1, "http://a.x/1", "<body><header>h</header><nav>n</nav><article><h1>T &amp; t</h1><p>one\n two<p>three<div class='comments'><p>c</div></article><footer>f</footer>"),
