@@ -2,8 +2,10 @@
 
 Word counts over all learning documents give a smoothed unigram base; the words beyond the network's vocabulary share one
 symbol, whose probability is split by those counts, so the score is a probability of the very text. The network (one
-gated recurrent layer, numpy) is trained by truncated backpropagation on a sample of at most about `sample_tokens`
-tokens; its softmax is factored into word classes. In scoring, the state runs through a whole document, window by window.
+gated recurrent layer, numpy) is trained by truncated backpropagation on all learning documents; its softmax is factored
+into word classes. The documents are dealt into ROUNDS by a hash of their id. In a round each task trains on its documents
+from the same weights, and the weights are averaged by the tokens behind them. In scoring, the state runs through a whole
+document, window by window.
 
 Counts stay in a table. Only the words above a count that at most `HEAD` words reach are held in workers; the other
 words of a document meet their counts in a join, so nothing that is broadcast grows with the corpus.
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from .common import blocks, materialize, word_hashes
 from .langid import fold
 
-#: Words whose counts workers hold at most; classes, words of a class; size of the state; tokens of the training sample.
-HEAD, CLASSES, PER_CLASS, STATE, SAMPLE_TOKENS = 1 << 18, 64, 64, 32, 500_000
+#: Words whose counts workers hold at most; classes, words of a class; size of the state.
+HEAD, CLASSES, PER_CLASS, STATE = 1 << 18, 64, 64, 32
 VOCAB = CLASSES * PER_CLASS
 #: Training: parallel texts, steps of truncated backpropagation, step size.
 LANES, STEPS, RATE = 32, 20, 0.1
+#: Rounds of training; tokens of all rounds that a task has at least, on average; ranges of weights that are averaged at once.
+ROUNDS, TASK_TOKENS, RANGES = 4, 500_000, 256
 #: Scoring: bytes of text at once, texts side by side, states per softmax.
 SCORE_BYTES, SIDE, WINDOW = 1 << 22, 1024, 1 << 15
 _LN10 = float(np.log(10))
@@ -73,6 +77,8 @@ def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, i
 class Network:
     """Symbols 0..VOCAB-1: 0 stands for all other words, 1 for the end. A symbol's class is symbol // PER_CLASS."""
 
+    NAMES = ("gate", "u", "wc", "ww", "bc", "bw")
+
     def __init__(self, words: np.ndarray, freq: np.ndarray):
         rng = np.random.default_rng(5)
         self.words, self.symbol = np.sort(words), np.argsort(words) + 2  # sorted hashes and their symbols
@@ -85,6 +91,7 @@ class Network:
         self.u = rng.normal(0, 0.15, (STATE, 3 * STATE)).astype(f)
         self.wc = np.zeros((STATE, CLASSES), f)
         self.ww = np.zeros((CLASSES, STATE, PER_CLASS), f)
+        self.acc = {k: np.full(getattr(self, k).shape, 1e-2, f) for k in self.NAMES}  # squared gradients so far
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -94,8 +101,8 @@ class Network:
 
     def step(self, h: np.ndarray, x: np.ndarray):
         g, a = self.gate[x], h @ self.u
-        z = 1 / (1 + np.exp(-(g[:, :STATE] + a[:, :STATE])))
-        r = 1 / (1 + np.exp(-(g[:, STATE : 2 * STATE] + a[:, STATE : 2 * STATE])))
+        zr = 1 / (1 + np.exp(-(g[:, : 2 * STATE] + a[:, : 2 * STATE])))
+        z, r = zr[:, :STATE], zr[:, STATE:]
         c = np.tanh(g[:, 2 * STATE :] + r * a[:, 2 * STATE :])
         return h + z * (c - h), z, r, c, a
 
@@ -118,22 +125,27 @@ class Network:
         out[order] += part
         return out
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.acc[k])])
+
+    def set_weights(self, w: np.ndarray) -> None:
+        for k in self.NAMES:
+            for x in (getattr(self, k), self.acc[k]):
+                x[...], w = w[: x.size].reshape(x.shape), w[x.size :]
+
     def train(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray) -> None:
         """x, y, fresh: steps by lanes; input and target symbols, and whether a text begins. Adagrad on clipped gradients."""
-        acc = {k: np.full(getattr(self, k).shape, 1e-2, np.float32) for k in ("gate", "u", "wc", "ww", "bc", "bw")}
-
         def move(name, g, rows=None):
-            g = np.clip(g, -0.5, 0.5)
-            v, a = getattr(self, name), acc[name]
-            if rows is None:
-                a += g * g
-                v -= RATE * g / np.sqrt(a)
-            else:
-                a[rows] += g * g
-                v[rows] -= RATE * g / np.sqrt(a[rows])
+            np.minimum(np.maximum(g, -0.5, out=g), 0.5, out=g)
+            v, a = getattr(self, name), self.acc[name]
+            at = slice(None) if rows is None else rows
+            sums = a[at] + g * g
+            a[at] = sums
+            g *= RATE
+            g /= np.sqrt(sums, out=sums)
+            v[at] -= g
 
         h = np.zeros((x.shape[1], STATE), np.float32)
-        lanes = np.arange(x.shape[1])
         for t0 in range(0, x.shape[0], STEPS):
             xs, ys, fs = x[t0 : t0 + STEPS], y[t0 : t0 + STEPS], fresh[t0 : t0 + STEPS]
             kept = []
@@ -143,7 +155,7 @@ class Network:
                 h, z, r, c, a = self.step(h, xs[t])
                 kept.append((before, z, r, c, a, h))
             hs, yy = np.concatenate([k[5] for k in kept]), ys.ravel()
-            n = np.float32(len(lanes))
+            n = np.float32(LANES)
             k = yy // PER_CLASS
             lc = hs @ self.wc + self.bc
             lc -= lc.max(1, keepdims=True)
@@ -153,20 +165,24 @@ class Network:
             pc /= n
             dh = pc @ self.wc.T
             gwc, gbc = hs.T @ pc, pc.sum(0)
-            gww, gbw = np.zeros_like(self.ww), np.zeros_like(self.bw)
             order = np.argsort(k, kind="stable")
             cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
-            for i in range(CLASSES):
-                rows = order[cuts[i] : cuts[i + 1]]
-                if len(rows):
-                    lw = hs[rows] @ self.ww[i] + self.bw[i]
-                    lw -= lw.max(1, keepdims=True)
-                    pw = np.exp(lw)
-                    pw /= pw.sum(1, keepdims=True)
-                    pw[np.arange(len(rows)), yy[rows] % PER_CLASS] -= 1
-                    pw /= n
-                    dh[rows] += pw @ self.ww[i].T
-                    gww[i], gbw[i] = hs[rows].T @ pw, pw.sum(0)
+            some = np.flatnonzero(cuts[1:] > cuts[:-1])
+            ho, pw, dho = hs[order], np.empty((len(yy), PER_CLASS), np.float32), np.empty_like(hs)
+            spans = [slice(cuts[i], cuts[i + 1]) for i in some]
+            for i, rows in zip(some, spans, strict=True):
+                np.matmul(ho[rows], self.ww[i], out=pw[rows])
+            pw += self.bw[k[order]]
+            pw -= pw.max(1, keepdims=True)
+            np.exp(pw, out=pw)
+            pw /= pw.sum(1, keepdims=True)
+            pw[np.arange(len(yy)), yy[order] % PER_CLASS] -= 1
+            pw /= n
+            gww, gbw = np.empty((len(some), STATE, PER_CLASS), np.float32), np.add.reduceat(pw, cuts[some], axis=0)
+            for j, (i, rows) in enumerate(zip(some, spans, strict=True)):
+                np.matmul(pw[rows], self.ww[i].T, out=dho[rows])
+                np.matmul(ho[rows].T, pw[rows], out=gww[j])
+            dh[order] += dho
             gu, dg, back = np.zeros_like(self.u), np.zeros((*xs.shape, 3 * STATE), np.float32), np.zeros_like(h)
             dh = dh.reshape(*xs.shape, STATE)
             for t in range(len(xs) - 1, -1, -1):
@@ -182,8 +198,10 @@ class Network:
             o = np.argsort(flat, kind="stable")
             rows, first = np.unique(flat[o], return_index=True)
             move("gate", np.add.reduceat(dgf[o], first, axis=0), rows)
-            for name, g in (("u", gu), ("wc", gwc), ("ww", gww), ("bc", gbc), ("bw", gbw)):
+            for name, g in (("u", gu), ("wc", gwc), ("bc", gbc)):
                 move(name, g)
+            for name, g in (("ww", gww), ("bw", gbw)):
+                move(name, g, some)
 
 
 def _lanes(symbols: np.ndarray, begin: np.ndarray, side: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -272,24 +290,55 @@ def _scorer(net: Network, h: np.ndarray, c: np.ndarray):
     return run
 
 
-def _sample(texts: DataFrame, share: float, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training lanes: input symbols, targets and beginnings, steps by lanes."""
-    order = F.xxhash64("doc_id", F.lit(11))
-    picked = texts if share >= 1 else texts.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = picked.select("text", order.alias("o")).toArrow().sort_by([("o", "ascending"), ("text", "ascending")]).combine_chunks()
-    symbols = [np.zeros(0, np.int64)]
-    for part in got.to_batches():
-        for b, data, offs in blocks(iter([part]), "text"):
-            words, docs = word_hashes(data, offs)
-            symbols.append(_with_ends(net.symbols(words.view(np.int64)), docs, b.num_rows, 1)[0])
-    y = np.concatenate(symbols)
-    steps = len(y) // LANES
-    y = y[: steps * LANES].reshape(LANES, steps)
-    x = np.concatenate([np.ones((LANES, 1), np.int64), y[:, :-1]], 1)
+def _lessons(y: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input symbols, targets and beginnings, steps by lanes."""
+    y = y.reshape(lanes, -1)
+    x = np.concatenate([np.ones((lanes, 1), np.int64), y[:, :-1]], 1)
     return x.T.copy(), y.T.copy(), (x == 1).T.copy()
 
 
-def score(docs: DataFrame, learn_mod: int = 10, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
+def _trainer(net: Network):
+    """Trains on a task's texts: its tokens and weights, by ranges of weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rest = 0, np.zeros(0, np.int64)
+        for b, data, offs in blocks(batches, "text"):
+            words, docs = word_hashes(data, offs)
+            y = np.concatenate([rest, _with_ends(net.symbols(words.view(np.int64)), docs, b.num_rows, 1)[0]])
+            n += len(y) - len(rest)
+            whole = len(y) // LANES * LANES
+            if whole:
+                net.train(*_lessons(y[:whole], LANES))
+            rest = y[whole:]
+        if len(rest):
+            net.train(*_lessons(rest, 1))
+        if n:
+            parts = np.array_split(net.weights(), RANGES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([n] * RANGES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "n", "m"])
+
+    return run
+
+
+def _average(t: pa.Table) -> pa.Table:
+    n = t["n"].to_numpy()
+    mean = sum(k / n.sum() * np.frombuffer(m.as_py(), np.float32) for k, m in zip(n, t["m"], strict=True)).astype(np.float32)
+    return pa.table({"part": t["part"].slice(0, 1), "n": pa.array([n.sum()], pa.int64()), "m": pa.array([mean.tobytes()], pa.binary())})
+
+
+def train(net: Network, texts: DataFrame, n: int) -> int:
+    """Trains net on all texts, of n tokens together; gives the number of tokens it has seen."""
+    kind, seen = "part int, n long, m binary", 0
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        part = texts.where(dealt == k).select("text").coalesce(max(1, n // TASK_TOKENS))
+        got = part.mapInArrow(_trainer(net), kind).groupBy("part").applyInArrow(_average, kind).orderBy("part").collect()
+        if got:
+            net.set_weights(np.concatenate([np.frombuffer(r["m"], np.float32) for r in got]))
+            seen += got[0]["n"]
+    return seen
+
+
+def score(docs: DataFrame, learn_mod: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. docs: doc_id, text."""
     held = F.coalesce(fold("doc_id", learn_mod) == 0, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
@@ -304,9 +353,7 @@ def score(docs: DataFrame, learn_mod: int = 10, sample_tokens: int = SAMPLE_TOKE
     freq[2 : 2 + len(top)] = c[top]
     freq[0], freq[1] = total - c[top].sum(), ends
     net = Network(h[top], freq)
-    x, y, fresh = _sample(texts, sample_tokens / n if n else 1.0, net)
-    if len(x):
-        net.train(x, y, fresh)
+    train(net, texts, n)
     rows = materialize(slim.mapInArrow(_scorer(net, h, c), "key long, doc_id long, held_out boolean, n_tokens long, ln double, log_c double, known long, other long, other_log_c double, tail array<long>"), "scored")
     words = rows.select("key", F.explode("tail").alias("h"))
     seen = words.join(counts.where(F.col("c") < least), "h", "left")

@@ -230,3 +230,14 @@ def test_language_model(spark, docs, texts):
         assert got[i]["n_tokens"] == len(cs) and got[i]["n_known"] == sum(c > 0 for c in cs) and got[i]["train_tokens"] == n
         assert got[i]["base_score"] == pytest.approx(sum(np.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in cs))
         assert got[i]["score"] < 0
+
+
+def test_language_model_learns_all_rows(spark):
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join(rng.choices(WORDS, k=3000))) for i in range(200)] + [(900, None), (901, ""), (902, "alpha")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    net = langmodel.Network(np.zeros(0, np.int64), np.ones(langmodel.VOCAB))
+    before = net.weights()
+    n = 200 * 3001 + 1 + 1 + 2
+    assert langmodel.train(net, texts, n) == n
+    assert np.isfinite(net.weights()).all() and (net.weights() != before).any()
