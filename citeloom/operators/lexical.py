@@ -50,6 +50,27 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+def holders(docs: DataFrame, queries: DataFrame, run: int = 4) -> DataFrame:
+    """query_id, query, doc_id, text of all documents that contain a query, byte for byte.
+
+    A query's words but its first and last are whole words of any text that contains it, so a document is looked up by its
+    runs of `run` words and then compared. Queries of fewer words are compared with all documents.
+    """
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}_]+")
+    at = lambda ws, i: F.xxhash64(*[F.get(ws, i + k) for k in range(run)])
+    q = queries.where(F.col("query").isNotNull()).withColumn("ws", words(F.col("query")))
+    long_, short = q.where(F.size("ws") >= run + 2), q.where(F.size("ws") < run + 2).drop("ws")
+    keys = _small(long_.select("query_id", at(F.col("ws"), F.lit(1)).alias("h")).distinct(), QUERY_TERMS)
+    runs = docs.select("doc_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= run)
+    runs = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - run), lambda i: at(F.col("ws"), i))).alias("h"))
+    pairs = runs.join(keys, "h").select(F.col("doc_id").alias("d"), F.col("query_id").alias("q")).distinct()
+    texts = docs.select("doc_id", "text")
+    near = pairs.join(long_.drop("ws"), F.col("q").eqNullSafe(F.col("query_id"))).join(texts, F.col("d").eqNullSafe(F.col("doc_id"))).drop("d", "q")
+    rest = texts.crossJoin(_small(short, QUERY_TERMS))
+    cols = ["query_id", "query", "doc_id", "text"]
+    return near.select(cols).unionByName(rest.select(cols)).where(F.contains("text", "query"))
+
+
 def term_codes(pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Codes that go with the words of a query: count times idf, the k best. pairs: term, code, n."""
     n = pairs.agg(F.count_distinct("code").alias("total"))

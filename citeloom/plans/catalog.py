@@ -520,6 +520,6 @@ def hybrid_retrieve(spark, d):
     docs, items = fx.table(spark, d, "documents"), fx.table(spark, d, "benchmark")
     q = items.select(col("item_id").alias("query_id"), col("text").alias("query"))
     lex = X.bm25(docs, q, 100).select("query_id", F.lit("bm25").alias("channel"), "doc_id", "rk")
-    near = lex.join(docs.select("doc_id", "text"), "doc_id").join(q, "query_id").where(F.contains("text", "query"))  # texts join late, for candidates only
+    near = X.holders(docs, q)
     anchor = U.ranked(near.select("query_id", "doc_id", (-F.length("text")).alias("score")), ["query_id"]).select("query_id", F.lit("anchor").alias("channel"), "doc_id", "rk")
     return U.rrf(lex.unionByName(anchor)).where("rk <= 20").select("query_id", "doc_id", F.round("score", 6).alias("score"), "channels", "rk")

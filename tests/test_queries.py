@@ -1,12 +1,13 @@
 """Every query with a SQL counterpart against DuckDB, on the smallest tables; the fold-based operators against plain Python."""
 
 import os
+import random
 from decimal import Decimal
 
 import duckdb
 import pytest
 
-from citeloom.operators import evaluate, fusion, granularity
+from citeloom.operators import evaluate, fusion, granularity, lexical
 from citeloom.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -38,6 +39,28 @@ def test_against_sql(spark, duck, name):
     assert mine == sorted(tuple(key(r[i]) for i in order) for r in res.fetchall())
 
 
+def test_anchors_of_widely_held_items(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(300)]
+    item, short = "Alpha beta, gamma delta: epsilon zeta eta theta", "ta xy"
+    docs = []
+    for i in range(160):
+        a, b = (" ".join(rng.choices(vocab, k=rng.randint(1, 200))) for _ in range(2))
+        docs.append((i, f"{a} {item if i % 8 else item.lower()}{b} {'beta xyz' if i % 3 == 0 else ''}"))
+    spark.createDataFrame([*docs, (900, None), (901, ""), (902, "gamma delta epsilon zeta eta")], "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, item), (2, short), (3, None)], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalog.queries()["hybrid_retrieve"](spark, str(tmp_path))
+    res = con.execute(catalog.oracle_sql()["hybrid_retrieve"])
+    names = [c[0] for c in res.description]
+    want = sorted(tuple(key(r[names.index(c)]) for c in df.columns) for r in res.fetchall())
+    assert sorted(tuple(key(v) for v in r) for r in df.collect()) == want
+    held = lexical.holders(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.createDataFrame([(1, item), (2, short)], "query_id long, query string"))
+    assert {(r["query_id"], r["doc_id"]) for r in held.collect()} == {(k, i) for k, q in ((1, item), (2, short)) for i, t in docs if q in t}
+
+
 def test_round_robin(spark):
     rows = [(1, "a", 10, 1), (1, "a", 11, 2), (1, "b", 10, 1), (1, "b", 12, 2), (1, "b", 13, 3)]
     df = spark.createDataFrame(rows, "query_id long, channel string, doc_id long, rk int")
