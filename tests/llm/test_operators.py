@@ -190,6 +190,16 @@ def test_decontamination_of_a_frequent_item(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 7) for i in [*range(0, 600, 3), 900]}
 
 
+def test_decontamination_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 2)
+    rng = random.Random(9)
+    made = [" ".join(f"x{rng.randint(0, 5000)}" for _ in range(20)) + "." for _ in range(7)]
+    ids = [None, 1, 5, 5, 5, 5, 6]
+    d = spark.createDataFrame([(i, f"some words before {t} and after") for i, t in enumerate(made)], "doc_id long, text string")
+    got = decontaminate.leaks(d, spark.createDataFrame(list(zip(ids, made)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(enumerate(ids))
+
+
 def test_html(spark):
     pages = [
         (1, "http://a.x/1", "<body><header>h</header><nav>n</nav><article><h1>T &amp; t</h1><p>one\n two<p>three<div class='comments'><p>c</div></article><footer>f</footer>"),
