@@ -1,43 +1,72 @@
-"""Removal of repeated 50-byte strings by prefix-free parsing.
-
-A rolling hash over 16 bytes triggers phrase starts, so equal text is parsed alike wherever it stands. A unit is a phrase
-with the `span` - 1 bytes behind it: it holds every string of `span` bytes that starts in the phrase. Units are the
-dictionary, the documents' lists of them the parse. A unit that a smaller doc_id bears is removed wherever else it stands,
-and only its first bearers go on; highly repetitive text is settled here. Among the first bearers, strings that are
-shared without their unit are found by their least 20-byte piece (every string of `span` bytes has one, and equal strings
-have the same): pieces are first sought in several documents, and only around those the bytes themselves are sent, where
-the strings are put into corpus order - sorted by content, then by doc_id - and all but the least bearers' are removed.
-
-Documents travel as rows of about a megabyte; what comes back to them is joined by row, broadcast only below
-BROADCAST_BYTES. Strings are known by 64-bit hashes. Null texts are empty, null ids count as the largest id, rows of equal
-id as one document. A text below `span` bytes keeps all. An empty table gives no rows.
+"""Removal of repeated 50-byte strings by prefix-free parsing and suffix sorting.
+
+Parsing. A rolling hash over 16 bytes triggers phrase starts, so equal text is parsed alike wherever it stands. A unit is a
+phrase with the `span` - 1 bytes that follow it in the parse: it holds every string of `span` bytes that starts in the
+phrase. Units are known by 128-bit BLAKE2 digests of their bytes. A unit that a smaller doc_id bears is removed wherever
+else it stands, and only its first bearers go on; highly repetitive text is settled here, on one row a different unit.
+
+Suffix sorting. What first bearers still share lies around a shared piece: every string of `span` bytes has a least piece
+of PIECE bytes, and equal strings have the same. Pieces that stand in several documents are sought by 32-bit hashes in
+buckets. The stretches of text around them are sent, and in a bucket the different stretches are the dictionary, their
+places the parse. The dictionary's suffixes are sorted by their bytes, `span` deep, into a suffix array; as the parse
+decides nothing beyond `span` bytes, its array is the order of the bearers (doc_id, place) of a stretch. Put together they
+are the corpus order: a run of equal strings with its bearers, all but the least of which lose the string. Hashes only
+choose what is compared there; bytes decide.
+
+Memory. Documents travel as rows of about a megabyte and are worked on in chunks; a bucket answers for BUCKET_BYTES of text
+and is sorted in slices of SLICE starts. A piece that more than HOT rows bear goes another way: its strings are grouped by
+their bytes in a plain aggregation, which combines before the shuffle, and joined back. Answers for rows are broadcast below
+BROADCAST_BYTES; a corpus above BUCKETED_BYTES is written in buckets by row, so that answers are dealt to its rows and the
+corpus itself isn't shuffled again.
+
+Null texts are empty, null ids count as the largest id, rows of equal id as one document. A text below `span` bytes keeps
+all. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, mix, prefix_hashes, span_hash
+from .common import blocks, materialize, mix, prefix_hashes, shared_dir, span_hash
 
-#: Bytes of a row of documents; bytes of text a bucket of pieces answers for; answers that may be broadcast.
-ROW_BYTES, BUCKET_BYTES, BROADCAST_BYTES = 1 << 20, 4 << 20, 48 << 20
+#: Bytes of a row of documents; bytes hashed at once; bytes of text a bucket of pieces answers for; starts sorted at once.
+ROW_BYTES, CHUNK, BUCKET_BYTES, SLICE = 1 << 20, 1 << 20, 8 << 20, 1 << 19
+#: Rows that may bear a piece in its bucket; answers that may be broadcast; corpus from which on rows are written in buckets.
+HOT, BROADCAST_BYTES, BUCKETED_BYTES = 20_000, 48 << 20, 8 << 30
 #: Width of the trigger, mean length of a phrase, width of a piece.
-TRIGGER, PHRASE, PIECE = 16, 192, 20
+TRIGGER, PHRASE, PIECE = 16, 192, 28
 _MOST = (1 << 63) - 1
-_ROW = "row long, ids array<long>, offs array<int>, data binary"
+_ROW = "row long, ids array<long>, offs array<int>, starts array<int>, data binary"
+_NONE = np.zeros(0, np.int64)
+
+
+def _phrases(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where phrases start: at triggers, and where a document begins."""
+    found = [offs[:-1][np.diff(offs) > 0]]
+    for a in range(0, len(data) - TRIGGER + 1, CHUNK):
+        part = data[a : a + CHUNK + TRIGGER - 1]
+        at = np.arange(len(part) - TRIGGER + 1)
+        hit = a + at[span_hash(prefix_hashes(part), at, at + TRIGGER) % np.uint64(PHRASE) == 0]
+        doc = np.searchsorted(offs, hit, side="right") - 1
+        found.append(hit[hit + TRIGGER <= offs[doc + 1]])
+    return np.unique(np.concatenate(found))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 32
+    ints = pa.list_(pa.int32())
     for batch, data, offs in blocks(batches, "text", ROW_BYTES):
-        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([offs.tolist()], pa.list_(pa.int32())), pa.array([data.tobytes()], pa.binary())], ["row", "ids", "offs", "data"])
+        cols = [pa.array([row], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([offs.astype(np.int32)], ints), pa.array([_phrases(data, offs).astype(np.int32)], ints), pa.array([data.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "ids", "offs", "starts", "data"])
         row += 1
 
 
@@ -49,50 +78,66 @@ class Row:
         self.row, self.span = get("row").as_py(), span
         self.data = np.frombuffer(get("data").as_buffer(), np.uint8)
         self.offs = get("offs").values.to_numpy().astype(np.int64)
+        self.start = get("starts").values.to_numpy().astype(np.int64)
         ids = get("ids").values
         self.raw_ids = ids.to_pylist()
         self.ids = ids.fill_null(_MOST).to_numpy()
-        self.prefix = prefix_hashes(self.data)
-        n = len(self.data)
-        at = np.arange(max(0, n - TRIGGER + 1))
-        hit = at[span_hash(self.prefix, at, at + TRIGGER) % np.uint64(PHRASE) == 0]
-        doc = np.searchsorted(self.offs, hit, side="right") - 1
-        hit = hit[hit + TRIGGER <= self.offs[doc + 1]]
-        begins = self.offs[:-1][np.diff(self.offs) > 0]
-        self.start = np.union1d(begins, hit)
         self.doc = np.searchsorted(self.offs, self.start, side="right") - 1
-        self.end = np.minimum(np.append(self.start[1:], n), self.offs[self.doc + 1])
-        self.unit_end = np.minimum(self.end + span - 1, self.offs[self.doc + 1])
-
-    def pieces(self, settled: np.ndarray):
-        """The least pieces of the strings that start in phrases not settled: (places, keys, documents, first and last start of a string of each)."""
+        self.end = np.minimum(np.append(self.start[1:], len(self.data)), self.offs[self.doc + 1])
+        self.gone = _NONE
+        if "settled" in batch.schema.names and (found := get("settled").values) is not None:
+            places = found.field("places")
+            least = np.repeat(found.field("least").to_numpy(), pc.list_value_length(places).to_numpy())
+            at = places.flatten().to_numpy().astype(np.int64)
+            self.gone = at[self.ids[self.doc[at]] > least]
+
+    def units(self) -> list[bytes]:
+        data, stop = memoryview(self.data), np.minimum(self.end + self.span - 1, self.offs[self.doc + 1])
+        return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.start.tolist(), stop.tolist(), strict=True)]
+
+    def last(self) -> np.ndarray:
+        """Behind the last start of a string in each phrase."""
+        return np.minimum(self.end, self.offs[self.doc + 1] - self.span + 1)
+
+    def pieces(self):
+        """The least pieces of the strings that start in phrases not settled: (keys, documents, first and last start of a string of each)."""
         n, span = len(self.data), self.span
-        wide = span - PIECE + 1
-        m = n - span + 1
-        none = np.zeros(0, np.int64)
+        wide, m = span - PIECE + 1, n - span + 1
         if m <= 0:
-            return none, np.zeros(0, np.uint64), none, none, none
-        open_ = np.zeros(n + 1, np.int32)
+            return np.zeros(0, np.uint64), _NONE, _NONE, _NONE
         alive = np.ones(len(self.start), bool)
-        alive[settled] = False
-        last = np.minimum(self.end, self.offs[self.doc + 1] - span + 1)
+        alive[self.gone] = False
+        last = self.last()
         ok = alive & (last > self.start)
-        np.add.at(open_, self.start[ok], 1)
-        np.add.at(open_, last[ok], -1)
-        begin = np.flatnonzero(np.cumsum(open_)[:m] > 0)
-        at = np.arange(n - PIECE + 1)
-        key = span_hash(self.prefix, at, at + PIECE)
-        x = (key & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-        size = 1
-        while 2 * size <= wide:
-            x = np.minimum(x[:-size], x[size:])
-            size *= 2
-        if size < wide:
-            x = np.minimum(x[: len(x) - (wide - size)], x[wide - size :])
-        place = (x[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + 1))) if len(begin) else none
+        edge = np.zeros(n + 1, np.int8)
+        edge[self.start[ok]] += 1
+        np.subtract.at(edge, last[ok], 1)
+        is_open = np.cumsum(edge, dtype=np.int8)[:m] > 0
+        keys, places, begins = [], [], []
+        for a in range(0, m, CHUNK):
+            begin = np.flatnonzero(is_open[a : a + CHUNK])
+            if not len(begin):
+                continue
+            part = self.data[a : a + CHUNK + span - 1]
+            at = np.arange(len(part) - PIECE + 1)
+            key = span_hash(prefix_hashes(part), at, at + PIECE)
+            x = (key & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+            size = 1
+            while 2 * size <= wide:
+                x = np.minimum(x[:-size], x[size:])
+                size *= 2
+            if size < wide:
+                x = np.minimum(x[: len(x) - (wide - size)], x[wide - size :])
+            place = (x[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            keys.append(key[place])
+            places.append(a + place)
+            begins.append(a + begin)
+        if not keys:
+            return np.zeros(0, np.uint64), _NONE, _NONE, _NONE
+        key, place, begin = map(np.concatenate, (keys, places, begins))
+        head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + 1)))
         tail = np.append(head[1:], len(begin)) - 1
-        return place[head], key[place[head]], np.searchsorted(self.offs, begin[head], side="right") - 1, begin[head], begin[tail]
+        return key[head], np.searchsorted(self.offs, begin[head], side="right") - 1, begin[head], begin[tail]
 
 
 def _each(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[Row, pa.RecordBatch, int]]:
@@ -101,16 +146,29 @@ def _each(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[Row, p
             yield Row(batch, i, span), batch, i
 
 
-def _settled(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    v = batch.column("settled")[i].values
-    return np.zeros(0, np.int64) if v is None else v.to_numpy().astype(np.int64)
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of runs of equal values."""
+    cut = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else _NONE
+    return cut, np.append(cut[1:], len(a)) if len(a) else _NONE
 
 
 def _units(span: int):
+    """Each different unit of a row once: digest, least and largest bearer, its phrases."""
+
     def run(batches):
         for r, _, _ in _each(batches, span):
-            h = span_hash(r.prefix, r.start, r.unit_end).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r.ids[r.doc]), pa.array(np.full(len(h), r.row)), pa.array(np.arange(len(h), dtype=np.int32))], ["h", "doc", "row", "i"])
+            found: dict[bytes, list[int]] = {}
+            for i, d in enumerate(r.units()):
+                found.setdefault(d, []).append(i)
+            if not found:
+                continue
+            digest = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            size = np.fromiter(map(len, found.values()), np.int64, len(found))
+            begin = np.append(0, np.cumsum(size))
+            flat = np.concatenate([np.array(v, np.int32) for v in found.values()])
+            ids = r.ids[r.doc[flat]]
+            cols = [pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.minimum.reduceat(ids, begin[:-1])), pa.array(np.maximum.reduceat(ids, begin[:-1])), pa.array(np.full(len(size), r.row)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "g", "lo", "hi", "row", "places"])
 
     return run
 
@@ -123,95 +181,168 @@ def _ask(span: int, buckets: int):
     """Per row and bucket: the different pieces (32 bits each) and whether the row has each in several documents."""
 
     def run(batches):
-        for r, batch, i in _each(batches, span):
-            _, key, doc, _, _ = r.pieces(_settled(batch, i))
-            u, inv = np.unique(key, return_inverse=True)
-            lo, hi = np.full(len(u), len(r.ids)), np.zeros(len(u), np.int64)
-            np.minimum.at(lo, inv, doc)
-            np.maximum.at(hi, inv, doc)
-            many = lo < hi
+        for r, _, _ in _each(batches, span):
+            key, doc, _, _ = r.pieces()
+            order = np.argsort(key, kind="stable")
+            u, doc = key[order], doc[order]  # documents ascend within a key
+            head, end = _runs(u)
+            u, many = u[head], doc[head] < doc[end - 1] if len(head) else _NONE
             b = _bucket(u, buckets)
-            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(b))
+            cut, ends = _runs(b)
             low = mix(u).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(b[cut].astype(np.int32)), pa.array(np.full(len(cut), r.row)), pa.array([low[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary()), pa.array([np.packbits(many[x:y]).tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "row", "keys", "many"])
 
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    """For each row of a bucket which of its pieces stand in several documents."""
-    keys = [np.frombuffer(k, np.uint32) for k in t["keys"].to_pylist()]
-    many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(t["many"].to_pylist(), keys, strict=True)]
-    flat = np.concatenate(keys)
-    u, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
-    hot = (count > 1) | (np.bincount(inv, np.concatenate(many), len(u)) > 0)
-    hit = hot[inv]
-    cut = np.cumsum([0, *map(len, keys)])
-    parts = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({"row": t["row"], "bucket": t["bucket"], "hot": pa.array(parts, pa.binary())})
+def _answer(hot_rows: int):
+    """For each row of a bucket: which of its pieces stand in several documents, and which of them in very many rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint32) for k in t["keys"].to_pylist()]
+        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(t["many"].to_pylist(), keys, strict=True)]
+        flat = np.concatenate(keys)
+        u, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
+        hot = ((count > 1) | (np.bincount(inv, np.concatenate(many), len(u)) > 0))[inv]
+        very = (count > hot_rows)[inv]
+        cut = np.cumsum([0, *map(len, keys)])
+        bits = lambda x, a, b: np.packbits(x[a:b]).tobytes() if x[a:b].any() else None
+        cols = [pa.array([bits(x, a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (hot, very)]
+        return pa.table({"row": t["row"], "bucket": t["bucket"], "hot": cols[0], "very": cols[1]})
+
+    return run
+
+
+def _chosen(r: Row, batch: pa.RecordBatch, i: int, buckets: int):
+    """The pieces of a row with their answers: (buckets, keys, documents, first and last starts, whether hot, whether in very many rows)."""
+    key, doc, first, last = r.pieces()
+    u, inv = np.unique(key, return_inverse=True)
+    b = _bucket(u, buckets)
+    hot, very = np.zeros(len(u), bool), np.zeros(len(u), bool)
+    for a in batch.column("answers")[i].as_py() or ():
+        x, y = np.searchsorted(b, (a["bucket"], a["bucket"] + 1))
+        for mark, bits in ((hot, a["hot"]), (very, a["very"])):
+            if bits:
+                mark[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
+    return b[inv], key, doc, first, last, hot[inv], very[inv]
 
 
 def _send(span: int, buckets: int):
-    """The bytes around pieces that stand in several documents."""
+    """The stretches around pieces that stand in several documents, but those of pieces in very many rows."""
 
     def run(batches):
         for r, batch, i in _each(batches, span):
-            answers = batch.column("answers")[i].as_py()
-            if not answers:
+            if not batch.column("answers")[i].as_py():
                 continue
-            place, key, doc, first, last = r.pieces(_settled(batch, i))
-            u, inv = np.unique(key, return_inverse=True)
-            b = _bucket(u, buckets)
-            hot = np.zeros(len(u), bool)
-            for a in answers:
-                x, y = np.searchsorted(b, (a["bucket"], a["bucket"] + 1))
-                hot[x:y] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=y - x).astype(bool)
-            pick = np.flatnonzero(hot[inv])
-            where = b[inv[pick]]
-            order = np.argsort(where, kind="stable")
-            pick, where = pick[order], where[order]
-            raw = r.data.tobytes()
-            cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-            out = [[], [], [], [], [], []]
-            for x, y in zip(cut, np.append(cut[1:], len(where)), strict=True):
+            where, key, doc, first, last, hot, very = _chosen(r, batch, i, buckets)
+            pick = np.flatnonzero(hot & ~very)
+            pick = pick[np.argsort(where[pick], kind="stable")]
+            raw, low = r.data.tobytes(), (mix(key) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            out = [[] for _ in range(7)]
+            for x, y in zip(*_runs(where[pick]), strict=True):
                 p = pick[x:y]
-                f, n = first[p], (last[p] - first[p] + span)
-                for col, v in zip(out, (int(where[x]), r.row, r.ids[doc[p]].tobytes(), f.astype(np.uint32).tobytes(), n.astype(np.uint16).tobytes(), b"".join([raw[s : s + c] for s, c in zip(f.tolist(), n.tolist(), strict=True)])), strict=True):
+                f, n = first[p], last[p] - first[p] + span
+                texts = b"".join([raw[s : s + c] for s, c in zip(f.tolist(), n.tolist(), strict=True)])
+                for col, v in zip(out, (int(where[p[0]]), r.row, low[p].tobytes(), r.ids[doc[p]].tobytes(), f.astype(np.uint32).tobytes(), n.astype(np.uint16).tobytes(), texts), strict=True):
                     col.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "row", "doc", "first", "n", "data"])
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "row", "key", "doc", "first", "n", "data"])
 
     return run
 
 
-def _decide(span: int):
+def _strings(span: int, buckets: int):
+    """The strings around pieces in very many rows, one by one: each different one once a document."""
+
+    def run(batches):
+        for r, batch, i in _each(batches, span):
+            if not batch.column("answers")[i].as_py():
+                continue
+            _, _, doc, first, last, _, very = _chosen(r, batch, i, buckets)
+            raw, found = r.data.tobytes(), {}
+            for d, a, b in zip(r.ids[doc[very]].tolist(), first[very].tolist(), last[very].tolist(), strict=True):
+                for at in range(a, b + 1):
+                    found.setdefault((raw[at : at + span], d), []).append(at)
+            cols = [pa.array([k[0] for k in found], pa.binary()), pa.array([k[1] for k in found], pa.int64()), pa.array([r.row] * len(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["s", "doc", "row", "at"])
+
+    return run
+
+
+def suffix_array(data: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of the `depth` bytes that follow them, and which differ from the one before.
+
+    Eight bytes at a time from the left: only runs that are still equal are sorted on.
+    """
+    view = np.ndarray((max(0, len(data) - 7),), ">u8", data, strides=(1,))
+    order = np.arange(len(starts))
+    differs = np.zeros(len(starts), bool)
+    differs[:1] = True
+    todo = order.copy()  # places of the array whose run isn't alone yet
+    for k in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
+        key = view[starts[order[todo]] + k].astype(np.uint64)
+        run = np.cumsum(differs[todo])
+        by = np.lexsort((key, run))
+        order[todo] = order[todo[by]]
+        key, run = key[by], run[by]
+        new = np.append(True, (key[1:] != key[:-1]) | (run[1:] != run[:-1]))
+        differs[todo] |= new
+        alone = new & np.append(new[1:], True)
+        todo = todo[~alone]
+        if not len(todo):
+            break
+    return order, differs
+
+
+def _decide(span: int, most: int = SLICE):
     """Puts the strings of a bucket into corpus order; per row the stretches of bytes whose strings have a smaller bearer."""
 
+    def ordered(words: list[bytes], word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """words: the dictionary; word, doc: the parse. Which (bearer, start in its word) have a smaller bearer."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        many = size - span + 1
+        upto = np.cumsum(many) - many
+        of = np.repeat(np.arange(len(words)), many)
+        step = np.arange(many.sum()) - upto[of]
+        order, differs = suffix_array(b"".join(words), begin[of] + step, span)
+        least_of_word = np.full(len(words), _MOST)
+        np.minimum.at(least_of_word, word, doc)
+        heads = np.flatnonzero(differs)
+        least = np.empty(len(of), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(least_of_word[of[order]], heads), np.diff(np.append(heads, len(of))))
+        best = np.minimum.reduceat(least, upto)
+        bearer = np.flatnonzero(best[word] < doc)
+        n = many[word[bearer]]
+        which = np.repeat(bearer, n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = least[upto[word[which]] + at] < doc[which]
+        return which[gone], at[gone]
+
     def run(t: pa.Table) -> pa.Table:
         rows = t["row"].to_numpy()
-        doc, first, n = ([np.frombuffer(x, k) for x in t[c].to_pylist()] for c, k in (("doc", np.int64), ("first", np.uint32), ("n", np.uint16)))
+        key, doc, first, n = ([np.frombuffer(x, k) for x in t[c].to_pylist()] for c, k in (("key", np.uint32), ("doc", np.int64), ("first", np.uint32), ("n", np.uint16)))
         row = np.repeat(rows, [len(x) for x in doc])
-        doc, first, n = np.concatenate(doc), np.concatenate(first).astype(np.int64), np.concatenate(n).astype(np.int64)
-        data = np.frombuffer(b"".join(t["data"].to_pylist()), np.uint8)
-        prefix = prefix_hashes(data)
-        at = np.cumsum(n) - n
-        many = n - span + 1
-        which = np.repeat(np.arange(len(n)), many)
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        s = at[which] + step
-        h = span_hash(prefix, s, s + span)
-        order = np.lexsort((doc[which], h))
-        sorted_h = h[order]
-        head = np.append(True, sorted_h[1:] != sorted_h[:-1])
-        least = doc[which[order]][np.flatnonzero(head)][np.cumsum(head) - 1]
-        gone = np.empty(len(h), bool)
-        gone[order] = doc[which[order]] > least
-        w, p = which[gone], step[gone]
-        cut = np.append(True, (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1)) if len(w) else np.zeros(0, bool)
-        a = np.flatnonzero(cut)
-        b = np.append(a[1:], len(w)) - 1
-        return pa.table({"row": row[w[a]] if len(a) else pa.array([], pa.int64()), "a": (first[w[a]] + p[a]).astype(np.int32) if len(a) else pa.array([], pa.int32()), "b": (first[w[a]] + p[b] + span).astype(np.int32) if len(a) else pa.array([], pa.int32())})
+        key, doc, first, n = (np.concatenate(x) for x in (key, doc, first, n))
+        data, at = b"".join(t["data"].to_pylist()), np.append(0, np.cumsum(n, dtype=np.int64))
+        by = np.argsort(key, kind="stable")
+        heads, ends = _runs(key[by])
+        starts = np.cumsum(np.append(0, n[by].astype(np.int64) - span + 1))
+        out, x = [], 0
+        while x < len(heads):  # slices of whole keys
+            y = max(x + 1, int(np.searchsorted(starts[ends], starts[heads[x]] + most, side="right")))
+            p = by[heads[x] : ends[y - 1]]
+            known: dict[bytes, int] = {}
+            word = np.array([known.setdefault(data[at[i] : at[i + 1]], len(known)) for i in p.tolist()])
+            w, s = ordered(list(known), word, doc[p])
+            if len(w):
+                cut = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)))
+                tail = np.append(cut[1:], len(w)) - 1
+                f = first[p[w[cut]]].astype(np.int64)
+                out.append((row[p[w[cut]]], f + s[cut], f + s[tail] + span))
+            x = y
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [_NONE] * 3
+        return pa.table({"row": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1].astype(np.int32)), "b": pa.array(cols[2].astype(np.int32))})
 
     return run
 
@@ -220,9 +351,9 @@ def _finish(span: int):
     def run(batches):
         for r, batch, i in _each(batches, span):
             gone = np.zeros(len(r.data) + 1, np.int32)
-            s = _settled(batch, i)
-            last = np.minimum(r.end[s] - 1, r.offs[r.doc[s] + 1] - span)
-            s, last = s[last >= r.start[s]], last[last >= r.start[s]]
+            last = r.last()[r.gone] - 1
+            s = r.gone[last >= r.start[r.gone]]
+            last = last[last >= r.start[r.gone]]
             np.add.at(gone, r.start[s], 1)
             np.add.at(gone, last + span, -1)
             cuts = batch.column("cuts")[i].values
@@ -233,36 +364,59 @@ def _finish(span: int):
             out = [[], [], [], []]
             for a, b in zip(r.offs[:-1].tolist(), r.offs[1:].tolist(), strict=True):
                 d = dead[a:b]
-                runs = int(d[:1].sum() + (d[1:] & ~d[:-1]).sum())
-                for col, v in zip(out, (b - a, int(d.sum()), runs, hashlib.sha256(r.data[a:b][~d].tobytes()).hexdigest()), strict=True):
+                removed = int(np.count_nonzero(d))
+                runs = int(d[:1].sum() + np.count_nonzero(d[1:] & ~d[:-1])) if removed else 0
+                kept = r.data[a:b][~d] if removed else r.data[a:b]
+                for col, v in zip(out, (b - a, removed, runs, hashlib.sha256(kept.tobytes()).hexdigest()), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r.raw_ids, pa.int64()), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
-def _with(rows: DataFrame, answers: DataFrame, size: int) -> DataFrame:
+def _corpus(docs: DataFrame, bucketed_from: int) -> tuple[DataFrame, int]:
+    """The rows, and their bytes. A large corpus is dealt by row into a bucketed table, so joins on `row` leave it in place."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = materialize(slim.mapInArrow(_rows, _ROW), "rows")
+    total = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    if total < bucketed_from:
+        return rows, total
+    spark, parts, name = docs.sparkSession, int(max(8, total >> 27)), f"rows_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{name}"
+    rows.repartition(parts, "row").write.option("compression", "zstd").option("path", path).bucketBy(parts, "row").sortBy("row").saveAsTable(name)
+    return spark.table(name), total
+
+
+def _with(rows: DataFrame, answers: DataFrame, size: int, bucketed: bool) -> DataFrame:
     """Brings to each row what concerns it; `size`: bytes of the answers."""
-    return rows.join(F.broadcast(answers) if size <= BROADCAST_BYTES else answers, "row", "left")
+    side = F.broadcast(answers) if size <= BROADCAST_BYTES else answers.hint("shuffle_hash") if bucketed else answers
+    return rows.join(side, "row", "left")
 
 
-def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, span: int = 50, hot_rows: int = HOT, bucketed_from: int = BUCKETED_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(slim.mapInArrow(_rows, _ROW), "rows")
-    total, count = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0)), F.count("*")).first()
+    rows, total = _corpus(docs, bucketed_from)
+    bucketed = total >= bucketed_from
+    count = rows.count()
     buckets = int(max(64, total // BUCKET_BYTES))
-    units = materialize(rows.mapInArrow(_units(span), "h long, doc long, row long, i int"), "units")
-    first = materialize(units.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least"), "dictionary")
-    gone = units.join(first, "h").where("doc > least")
-    settled = materialize(gone.groupBy("row").agg(F.collect_list("i").alias("settled")), "parse")
-    open_rows = _with(rows, settled, 4 * gone.count() + 16 * count)
+    units = materialize(rows.mapInArrow(_units(span), "h long, g long, lo long, hi long, row long, places array<int>"), "units")
+    first = materialize(units.groupBy("h", "g").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("h", "g", "least"), "dictionary")
+    gone = units.join(first, ["h", "g"]).where("hi > least")
+    settled = materialize(gone.groupBy("row").agg(F.collect_list(F.struct("places", "least")).alias("settled")), "parse")
+    size = settled.agg(F.coalesce(F.sum(F.expr("aggregate(settled, 0L, (n, s) -> n + 16 + 4 * size(s.places))")), F.lit(0))).first()[0]
+    open_rows = _with(rows, settled, size + 16 * count, bucketed)
     asked = open_rows.mapInArrow(_ask(span, buckets), "bucket int, row long, keys binary, many binary")
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, "row long, bucket int, hot binary").where("hot IS NOT NULL"), "answers")
-    size = answers.agg(F.coalesce(F.sum(F.length("hot") + 12), F.lit(0))).first()[0]
-    hot = answers.groupBy("row").agg(F.collect_list(F.struct("bucket", "hot")).alias("answers"))
-    sent = _with(open_rows, hot, size).mapInArrow(_send(span, buckets), "bucket int, row long, doc binary, first binary, n binary, data binary")
-    cuts = materialize(sent.groupBy("bucket").applyInArrow(_decide(span), "row long, a int, b int"), "cuts")
+    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(hot_rows), "row long, bucket int, hot binary, very binary").where("hot IS NOT NULL"), "answers")
+    size, n_very = answers.agg(F.coalesce(F.sum(F.length("hot") + F.coalesce(F.length("very"), F.lit(0)) + 12), F.lit(0)), F.count("very")).first()
+    told = _with(open_rows, answers.groupBy("row").agg(F.collect_list(F.struct("bucket", "hot", "very")).alias("answers")), size, bucketed)
+    sent = told.mapInArrow(_send(span, buckets), "bucket int, row long, key binary, doc binary, first binary, n binary, data binary")
+    cuts = sent.groupBy("bucket").applyInArrow(_decide(span), "row long, a int, b int")
+    if n_very:
+        each = materialize(told.mapInArrow(_strings(span, buckets), "s binary, doc long, row long, at array<int>"), "strings")
+        least = each.groupBy("s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("s", "least")
+        at = each.join(least, "s").where("doc > least").select("row", F.explode("at").alias("a"))
+        cuts = cuts.union(at.select("row", "a", F.col("a") + span))
+    cuts = materialize(cuts, "cuts")
     per_row = cuts.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    done = _with(open_rows, per_row, 8 * cuts.count() + 16 * count)
+    done = _with(open_rows, per_row, 8 * cuts.count() + 16 * count, bucketed)
     return done.mapInArrow(_finish(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from citeloom.llm import decontaminate, htmltext, langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
@@ -129,23 +130,79 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_substrings(spark, docs, texts):
-    got = {r["doc_id"]: r for r in substrings.dedup_substrings(docs).collect()}
-    seen = set()
-    for i, t in texts:
-        b, own = (t or "").encode(), []
+def removed_strings(rows):
+    """Brute force: id -> sorted (n_bytes, n_removed, n_spans, sha256), ids alike as one document, null ids last."""
+    last = 1 << 63
+    least = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            s = b[p : p + 50]
+            least[s] = min(least.get(s, last), last if i is None else i)
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
         dead = bytearray(len(b))
         for p in range(len(b) - 49):
-            own.append(b[p : p + 50])
-            if own[-1] in seen:
+            if least[b[p : p + 50]] < (last if i is None else i):
                 dead[p : p + 50] = b"\1" * 50
-        seen.update(own)
         kept = bytes(x for x, d in zip(b, dead) if not d)
-        spans = len(re.findall(b"\1+", bytes(dead)))
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(dead), spans, hashlib.sha256(kept).hexdigest())
+        out.setdefault(i, []).append((len(b), sum(dead), len(re.findall(b"\1+", bytes(dead))), hashlib.sha256(kept).hexdigest()))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def dedupped(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_substrings(spark, docs, texts):
+    assert dedupped(substrings.dedup_substrings(docs)) == removed_strings(texts)
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot_rows, bucketed_from", [(substrings.HOT, 0), (1, 1 << 60), (0, 0)])
+def test_substrings_other_ways(spark, texts, hot_rows, bucketed_from):
+    rng = random.Random(3)
+    line = " ".join(rng.choices(WORDS, k=14))
+    rows = [*texts, *texts[3:6], (None, texts[2][1]), (None, "nobody else has this " * 9), (7, line + " seven"), (7, "x " + line)]
+    rows += [(100 + i, f"{rng.random()} {line} {rng.random()}" + "\0" * rng.randint(40, 90)) for i in range(30)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], "doc_id long, text string, row string, data string, ids int").repartition(5)
+    got = dedupped(substrings.dedup_substrings(df, hot_rows=hot_rows, bucketed_from=bucketed_from))
+    assert got == removed_strings(rows)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 19])
+def test_corpus_order_of_a_bucket(most):
+    rng = random.Random(most)
+    texts = ["".join(rng.choices("ab", k=rng.randint(50, 60))) if k % 3 else "ab" * 26 for k in range(60)]
+    docs = [rng.randint(1, 20) for _ in texts]
+    pack = lambda v, k: np.array(v, k).tobytes()
+    halves = [range(0, 25), range(25, 60)]
+    cols = {"row": [0, 1], "key": [pack([0] * len(h), np.uint32) for h in halves], "doc": [pack([docs[i] for i in h], np.int64) for h in halves], "first": [pack([1000 * i for i in h], np.uint32) for h in halves], "n": [pack([len(texts[i]) for i in h], np.uint16) for h in halves], "data": ["".join(texts[i] for i in h).encode() for h in halves]}
+    got = substrings._decide(50, most)(pa.table(cols)).to_pylist()
+    least = {}
+    for t, d in zip(texts, docs):
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(least.get(t[p : p + 50], 99), d)
+    want = {(i, p) for i, (t, d) in enumerate(zip(texts, docs)) for p in range(len(t) - 49) if least[t[p : p + 50]] < d}
+    assert {(r["a"] // 1000, p) for r in got for p in range(r["a"] % 1000, r["b"] % 1000 - 49)} == want
+    assert all(r["row"] == (r["a"] // 1000 >= 25) for r in got)
+
+
+def test_suffix_array():
+    rng = random.Random(2)
+    data = bytes(rng.choices(b"ab\0", k=400)) + b"ab" * 60
+    for depth in (8, 13, 50):
+        starts = np.array(rng.sample(range(len(data) - depth + 1), 300))
+        order, differs = substrings.suffix_array(data, starts, depth)
+        texts = [data[s : s + depth] for s in starts[order].tolist()]
+        assert texts == sorted(texts) and differs.tolist() == [i == 0 or texts[i] != texts[i - 1] for i in range(300)]
+
+
 def test_line_dedup(spark, docs, texts):
     rows = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
     assert len(rows) == len(texts) and "source" in linededup.dedup_lines(docs).columns
