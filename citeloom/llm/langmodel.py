@@ -28,14 +28,14 @@ from .common import blocks, materialize, word_hashes
 from .langid import fold
 
 #: Words whose counts workers hold at most; classes, words of a class; size of the state.
-HEAD, CLASSES, PER_CLASS, STATE = 1 << 18, 64, 64, 32
+HEAD, CLASSES, PER_CLASS, STATE = 1 << 18, 64, 64, 16
 VOCAB = CLASSES * PER_CLASS
 #: Training: parallel texts, steps of truncated backpropagation, step size.
-LANES, STEPS, RATE = 32, 20, 0.1
+LANES, STEPS, RATE = 192, 16, 0.25
 #: Rounds of training; tokens of all rounds that a task has at least, on average; ranges of weights that are averaged at once.
 ROUNDS, TASK_TOKENS, RANGES = 4, 500_000, 256
 #: Scoring: bytes of text at once, texts side by side, states per softmax.
-SCORE_BYTES, SIDE, WINDOW = 1 << 22, 1024, 1 << 15
+SCORE_BYTES, SIDE, WINDOW = 1 << 22, 1024, 1 << 13
 _LN10 = float(np.log(10))
 
 
@@ -74,6 +74,12 @@ def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, i
     return h[order], c[order], least
 
 
+def _powers(logits: np.ndarray) -> np.ndarray:
+    """exp in place, of logits kept below what single precision holds."""
+    np.minimum(logits, 60, out=logits)
+    return np.exp(logits, out=logits)
+
+
 class Network:
     """Symbols 0..VOCAB-1: 0 stands for all other words, 1 for the end. A symbol's class is symbol // PER_CLASS."""
 
@@ -86,9 +92,9 @@ class Network:
         self.bc = np.log(p.sum(1) / p.sum()).astype(np.float32)
         self.bw = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
         f = np.float32
-        self.gate = rng.normal(0, 0.1, (VOCAB, 3 * STATE)).astype(f)  # input embedding through the gates' input weights
-        self.gate[:, :STATE] -= 1
-        self.u = rng.normal(0, 0.15, (STATE, 3 * STATE)).astype(f)
+        self.gate = rng.normal(0, 0.1, (3, VOCAB, STATE)).astype(f)  # input embedding through the gates' input weights
+        self.gate[0] -= 1
+        self.u = rng.normal(0, 0.15, (3, STATE, STATE)).astype(f)
         self.wc = np.zeros((STATE, CLASSES), f)
         self.ww = np.zeros((CLASSES, STATE, PER_CLASS), f)
         self.acc = {k: np.full(getattr(self, k).shape, 1e-2, f) for k in self.NAMES}  # squared gradients so far
@@ -100,18 +106,26 @@ class Network:
         return np.where(self.words[at] == hashes, self.symbol[at], 0)
 
     def step(self, h: np.ndarray, x: np.ndarray):
-        g, a = self.gate[x], h @ self.u
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * STATE] + a[:, : 2 * STATE])))
-        z, r = zr[:, :STATE], zr[:, STATE:]
-        c = np.tanh(g[:, 2 * STATE :] + r * a[:, 2 * STATE :])
-        return h + z * (c - h), z, r, c, a
+        g, a = self.gate.take(x, 1), h @ self.u
+        zr = g[:2]
+        zr += a[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, c, ac = zr[0], zr[1], g[2], a[2]
+        c += r * ac
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c, ac
 
     def log_prob(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln of the class and of the word within it."""
         k = y // PER_CLASS
-        lc = h @ self.wc + self.bc
-        np.exp(lc, out=lc)
-        out = np.log(lc[np.arange(len(y)), k] / lc.sum(1)).astype(np.float64)
+        lc = _powers(h @ self.wc + self.bc)
+        out = np.log(np.maximum(lc[np.arange(len(y)), k], 1e-30) / lc.sum(1)).astype(np.float64)
         order = np.argsort(k, kind="stable")
         cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
         hs, w = h[order], (y % PER_CLASS)[order]
@@ -119,9 +133,8 @@ class Network:
         for i in range(CLASSES):
             a, b = cuts[i], cuts[i + 1]
             if a < b:
-                lw = hs[a:b] @ self.ww[i] + self.bw[i]
-                np.exp(lw, out=lw)
-                part[a:b] = np.log(lw[np.arange(b - a), w[a:b]] / lw.sum(1))
+                lw = _powers(hs[a:b] @ self.ww[i] + self.bw[i])
+                part[a:b] = np.log(np.maximum(lw[np.arange(b - a), w[a:b]], 1e-30) / lw.sum(1))
         out[order] += part
         return out
 
@@ -138,70 +151,83 @@ class Network:
         def move(name, g, rows=None):
             np.minimum(np.maximum(g, -0.5, out=g), 0.5, out=g)
             v, a = getattr(self, name), self.acc[name]
-            at = slice(None) if rows is None else rows
-            sums = a[at] + g * g
-            a[at] = sums
-            g *= RATE
-            g /= np.sqrt(sums, out=sums)
-            v[at] -= g
+            if rows is None:
+                a += g * g
+                v -= RATE * g / np.sqrt(a)
+            else:
+                at = (slice(None), rows) if name == "gate" else rows
+                sums = a[at] + g * g
+                a[at] = sums
+                g *= RATE
+                g /= np.sqrt(sums, out=sums)
+                v[at] -= g
 
         h = np.zeros((x.shape[1], STATE), np.float32)
         for t0 in range(0, x.shape[0], STEPS):
-            xs, ys, fs = x[t0 : t0 + STEPS], y[t0 : t0 + STEPS], fresh[t0 : t0 + STEPS]
-            kept = []
+            xs, ys, goes_on = x[t0 : t0 + STEPS], y[t0 : t0 + STEPS], np.float32(~fresh[t0 : t0 + STEPS, :, None])
+            kept, hs = [], np.empty((*xs.shape, STATE), np.float32)
             for t in range(len(xs)):
-                h = h * ~fs[t][:, None]
-                before = h
-                h, z, r, c, a = self.step(h, xs[t])
-                kept.append((before, z, r, c, a, h))
-            hs, yy = np.concatenate([k[5] for k in kept]), ys.ravel()
-            n = np.float32(LANES)
+                before = h * goes_on[t]
+                h, *parts = self.step(before, xs[t])
+                hs[t] = h
+                kept.append((before, *parts))
+            hs, yy = hs.reshape(-1, STATE), ys.ravel()
+            n = np.float32(1 / LANES)
             k = yy // PER_CLASS
-            lc = hs @ self.wc + self.bc
-            lc -= lc.max(1, keepdims=True)
-            pc = np.exp(lc)
-            pc /= pc.sum(1, keepdims=True)
-            pc[np.arange(len(yy)), k] -= 1
-            pc /= n
-            dh = pc @ self.wc.T
-            gwc, gbc = hs.T @ pc, pc.sum(0)
             order = np.argsort(k, kind="stable")
-            cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
+            hs, k, yo = hs.take(order, 0), k[order], yy[order]
+            at = np.arange(len(k))
+            pc = _powers(hs @ self.wc + self.bc)
+            pc *= n / pc.sum(1, keepdims=True)
+            pc[at, k] -= n
+            dho = pc @ self.wc.T
+            gwc, gbc = hs.T @ pc, pc.sum(0)
+            cuts = np.searchsorted(k, np.arange(CLASSES + 1))
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
-            ho, pw, dho = hs[order], np.empty((len(yy), PER_CLASS), np.float32), np.empty_like(hs)
+            pw = self.bw.take(k, 0)
             spans = [slice(cuts[i], cuts[i + 1]) for i in some]
             for i, rows in zip(some, spans, strict=True):
-                np.matmul(ho[rows], self.ww[i], out=pw[rows])
-            pw += self.bw[k[order]]
-            pw -= pw.max(1, keepdims=True)
-            np.exp(pw, out=pw)
-            pw /= pw.sum(1, keepdims=True)
-            pw[np.arange(len(yy)), yy[order] % PER_CLASS] -= 1
-            pw /= n
-            gww, gbw = np.empty((len(some), STATE, PER_CLASS), np.float32), np.add.reduceat(pw, cuts[some], axis=0)
+                pw[rows] += hs[rows] @ self.ww[i]
+            _powers(pw)
+            pw *= n / pw.sum(1, keepdims=True)
+            pw[at, yo % PER_CLASS] -= n
+            gww, gbw = np.empty((len(some), STATE, PER_CLASS), np.float32), np.empty((len(some), PER_CLASS), np.float32)
             for j, (i, rows) in enumerate(zip(some, spans, strict=True)):
-                np.matmul(pw[rows], self.ww[i].T, out=dho[rows])
-                np.matmul(ho[rows].T, pw[rows], out=gww[j])
-            dh[order] += dho
-            gu, dg, back = np.zeros_like(self.u), np.zeros((*xs.shape, 3 * STATE), np.float32), np.zeros_like(h)
-            dh = dh.reshape(*xs.shape, STATE)
+                p = pw[rows]
+                dho[rows] += p @ self.ww[i].T
+                np.matmul(hs[rows].T, p, out=gww[j])
+                p.sum(0, out=gbw[j])
+            dh = np.empty_like(dho)
+            dh[order] = dho
+            gu, dg, back = np.zeros_like(self.u), np.empty((3, *xs.shape, STATE), np.float32), np.zeros_like(h)
+            dh, ut = dh.reshape(*xs.shape, STATE), self.u.transpose(0, 2, 1).copy()
+            da = np.empty((3, *h.shape), np.float32)
             for t in range(len(xs) - 1, -1, -1):
-                before, z, r, c, a, _ = kept[t]
-                d = dh[t] + back
-                dz, dc = d * (c - before) * z * (1 - z), d * z * (1 - c * c)
-                dr = dc * a[:, 2 * STATE :] * r * (1 - r)
-                da = np.concatenate([dz, dr, dc * r], 1)
-                dg[t] = np.concatenate([dz, dr, dc], 1)
+                before, z, r, c, ac = kept[t]
+                d = dh[t]
+                d += back
+                dz = d * z
+                back = d - dz
+                dc = np.multiply(c, c, out=dg[2, t])
+                np.subtract(1, dc, out=dc)
+                dc *= dz
+                dz *= c - before
+                dz *= 1 - z
+                np.multiply(dc, r, out=da[2])
+                ac *= da[2]
+                ac *= 1 - r
+                da[0], da[1], dg[0, t], dg[1, t] = dz, ac, dz, ac
                 gu += before.T @ da
-                back = (d * (1 - z) + da @ self.u.T) * ~fs[t][:, None]
-            flat, dgf = xs.ravel(), dg.reshape(-1, 3 * STATE)
-            o = np.argsort(flat, kind="stable")
-            rows, first = np.unique(flat[o], return_index=True)
-            move("gate", np.add.reduceat(dgf[o], first, axis=0), rows)
+                back += (da @ ut).sum(0)
+                back *= goes_on[t]
+            rows, inv = np.unique(xs.ravel(), return_inverse=True)
+            columns = dg.reshape(3, -1, STATE).transpose(0, 2, 1).reshape(3 * STATE, -1)
+            sums = np.array([np.bincount(inv, c, len(rows)) for c in columns], np.float32)
+            move("gate", np.ascontiguousarray(sums.reshape(3, STATE, -1).transpose(0, 2, 1)), rows)
             for name, g in (("u", gu), ("wc", gwc), ("bc", gbc)):
                 move(name, g)
             for name, g in (("ww", gww), ("bw", gbw)):
-                move(name, g, some)
+                move(name, g, None if len(some) == CLASSES else some)
 
 
 def _lanes(symbols: np.ndarray, begin: np.ndarray, side: int) -> tuple[list[np.ndarray], np.ndarray]:
