@@ -6,8 +6,14 @@ of several lines whose bytes appear earlier (in a smaller doc_id, or before it i
 line breaks. Hashes find candidates; bytes decide: texts are compared with the earliest bearer's, and one that differs
 from it under an equal hash stays.
 
-Null text stays null, with no lines. An empty text has one empty line. Rows that share a doc_id count as one document in
-the order of occurrences; null ids come last. One-line chunks are never removed. An empty table gives no rows.
+Null text stays null, with no lines. An empty text has one empty line. Rows are told apart by doc_id and text: rows that
+share a doc_id but not the text are documents of their own, in the order of (doc_id, hashes of the text); rows equal in
+both count as one document and get the same result. Null ids come last. One-line chunks are never removed. Other columns
+pass through whatever their names, but for `n_lines` and `n_removed`, which are the operator's. An empty table gives no rows.
+
+Only the documents that lose something have a list of chunks; it is broadcast while such lists are few, else both sides are
+shuffled by document. A chunk that very many documents bear is one row of the small side; the other side is dealt anew by
+the planner's skew join.
 """
 
 from __future__ import annotations
@@ -17,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: One line in SPARSE ends a chunk; chunks of fewer lines than LEAST stay; repeated chunks that may be broadcast (40 bytes each).
+#: One line in SPARSE ends a chunk; chunks of fewer lines than LEAST stay; repeated chunks and documents that may be broadcast (some 60 bytes each).
 SPARSE, LEAST, BROADCAST_ROWS = 3, 2, 400_000
+_KEY = ("d", "a", "b")
 _LAST = (1 << 63) - 1
 
 
@@ -45,29 +52,31 @@ def _lines(text: Column) -> Column:
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """k, gone: for each document the chunks (by first line) to remove."""
-    cut = docs.select("_k", _lines(F.col("text")).alias("l")).withColumn("c", F.explode(F.filter(chunks(F.col("l")), lambda c: c["n"] >= LEAST)))
-    piece = cut.select("_k", F.col("c.s").alias("s"), F.array_join(F.slice("l", F.col("c.s"), F.col("c.n")), "\n").alias("t"))
-    piece = piece.select("_k", "s", "t", F.xxhash64("t", F.length("t")).alias("h"))
-    again = piece.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("_k", "s")).alias("first")).where("m > 1").select("h", "first")
+    """The key of each document that loses chunks, and these, by first line. docs: key, text."""
+    cut = docs.select(F.struct(*_KEY).alias("k"), _lines(F.col("text")).alias("l")).withColumn("c", F.explode(F.filter(chunks(F.col("l")), lambda c: c["n"] >= LEAST)))
+    piece = cut.select(F.struct("k.*", F.col("c.s").alias("s")).alias("at"), F.array_join(F.slice("l", F.col("c.s"), F.col("c.n")), "\n").alias("t"))
+    piece = piece.select("at", "t", F.xxhash64("t", F.length("t")).alias("h"))
+    again = piece.groupBy("h").agg(F.count("*").alias("m"), F.min("at").alias("first")).where("m > 1").select("h", "first")
     again = materialize(again, "repeated")
     few = again.count() <= BROADCAST_ROWS
     found = materialize(piece.join(F.broadcast(again) if few else again, "h"), "chunks")
-    own = found.where((F.col("_k") == F.col("first._k")) & (F.col("s") == F.col("first.s"))).groupBy("h").agg(F.min("t").alias("kept"))
-    gone = found.join(own, "h").where((F.col("t") == F.col("kept")) & ~((F.col("_k") == F.col("first._k")) & (F.col("s") == F.col("first.s"))))
-    return gone.groupBy("_k").agg(F.collect_set("s").alias("gone"))
+    kept = found.where(F.col("at") == F.col("first")).groupBy("h").agg(F.min("t").alias("kept"))
+    gone = found.join(kept, "h").where((F.col("t") == F.col("kept")) & (F.col("at") != F.col("first")))
+    return gone.groupBy(*[F.col(f"at.{c}").alias(c) for c in _KEY]).agg(F.collect_set("at.s").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The input's columns with `text` rewritten, and n_lines, n_removed (lines)."""
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    joined = keyed.join(_repeated(keyed.where(F.col("text").isNotNull())), "_k", "left")
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole")
+    keyed = docs.select(whole, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    hit = materialize(_repeated(keyed.where(F.col("text").isNotNull()).drop("whole")), "cut")
+    joined = keyed.join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, [*_KEY], "left")
     left = lambda l: F.flatten(F.transform(F.filter(chunks(l), lambda c: ~F.array_contains("gone", c["s"])), lambda c: F.slice(l, c["s"], c["n"])))
     cut = lambda l: _let(left(l), lambda k: F.struct(F.array_join(k, "\n").alias("text"), F.size(l).alias("n"), (F.size(l) - F.size(k)).alias("gone")))
-    whole = F.struct("text", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).alias("n"), F.lit(0).alias("gone"))
-    hit = F.col("gone").isNotNull() & F.col("text").isNotNull()
-    out = joined.withColumn("_out", F.when(hit, _let(_lines(F.col("text")), cut)).otherwise(whole))
-    return out.select(*[F.col(c) if c != "text" else F.col("_out.text").alias("text") for c in docs.columns], F.col("_out.n").alias("n_lines"), F.col("_out.gone").alias("n_removed"))
+    as_is = F.struct("text", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).alias("n"), F.lit(0).alias("gone"))
+    out = joined.select("whole", F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), _let(_lines(F.col("text")), cut)).otherwise(as_is).alias("out"))
+    rest = [F.col("out.text").alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return out.select(*rest, F.col("out.n").alias("n_lines"), F.col("out.gone").alias("n_removed"))
 
 
 SQL = f"""
