@@ -2,12 +2,17 @@
 
 A document's n-grams are runs of five words (letters, digits and bytes from 0x80 on; A-Z lower-cased), as 64-bit hashes;
 fewer words make one n-gram. Documents with equal sets form a class, which takes part once. Band and row counts come from
-the recall wanted at the threshold. Band hashes are shuffled; documents that share a band are connected, and within each
-connected set of classes all pairs are verified on their full sets. A large set is dealt into square blocks of bounded
-size over many tasks; a block gives sums per document, never pairs, so what is sent grows with the documents.
-
-No n-grams (null or wordless text): a class of its own without links. Rows that share a doc_id count as one document;
-null ids stay null and are told apart by text. An empty table gives no rows.
+the recall wanted at the threshold. Band hashes are shuffled; classes that share a band are connected, and what is
+connected is verified on full sets. A connected set that fits a block has all its pairs verified there, each text sent
+once. A larger one is taken apart into its band cells (the classes that share one band hash), and a pair is verified in the
+first cell it shares, so chains of cells cost no more than the cells. A cell larger than a block is dealt into square blocks
+over many tasks. A block gives sums per class, never pairs. Within a cell of m different texts m * m / 2 pairs are compared
+and m * m / BLOCK_DOCS texts are sent: exact numbers of links need that much.
+
+Every row is a document of its own; rows equal in doc_id and text are copies of each other like any others. Rows that share
+a doc_id but not the text are told apart by their text. No n-grams (null or wordless text): a class of its own without
+links. Null ids stay null; they come after all others, and where a class_id or copy_id has only such rows to name, it is a
+negative hash of the text. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, NONWORD, blocks, materialize, mix, prefix_hashes, span_hash, word_spans
 from .graph import components
 
-#: Documents of a block and bytes of its texts; candidates (16 bytes each) that may be broadcast; columns of a product.
-BLOCK_DOCS, BLOCK_TEXT, BROADCAST_ROWS, COLUMNS = 1000, 16 << 20, 500_000, 2048
+#: Classes of a block and bytes of its texts; candidates (some 60 bytes each) that may be broadcast; columns of a product.
+BLOCK_DOCS, BLOCK_TEXT, BROADCAST_ROWS, COLUMNS = 256, 16 << 20, 400_000, 2048
+_KEY = ("z", "k", "a", "b")
 
 
 def bands_for(threshold: float, recall: float) -> tuple[int, int]:
@@ -85,7 +91,8 @@ def _signatures(n: int, bands: int, rows: int):
                         least = np.minimum.reduceat(flat * mul[j] + add[j], at)
                         band[some, j // rows] = mix(band[some, j // rows] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(j))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)), pa.array(band[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], ["k", "doc_id", "size", "f1", "f2", "bands"])
+                own = [batch.column(c) for c in ("doc_id", *_KEY)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offs)), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], ["doc_id", *_KEY, "bytes", "size", "f1", "f2", "bands"])
 
     return run
 
@@ -116,9 +123,9 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 
 def _verify(n: int, threshold: float):
-    """Sums per document over its block: copies behind its links, and the least class it is connected with there."""
+    """Sums per class over its block: copies behind its links, and the least class it is connected with there."""
 
-    def group(rows: list[tuple], i: int, j: int) -> tuple[list, list, list]:
+    def group(rows: list[tuple], band: int, i: int, j: int) -> tuple[list, list, list]:
         rows = list({r[0]: r for r in rows}.values())
         texts = pa.array([r[1] for r in rows])
         sets = [s for _, data, offs in blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text") for s in shingles(data, offs, n)]
@@ -132,6 +139,11 @@ def _verify(n: int, threshold: float):
         linked = over >= threshold * (size[left][:, None] + size[right][None, :] - over) - 1e-9
         if i == j:
             np.fill_diagonal(linked, False)
+        if band >= 0:  # this must be the first band that the two share
+            bands = np.array([r[4] for r in rows])
+            linked &= bands[left, band][:, None] == bands[right, band][None, :]
+            for k in range(band):
+                linked &= bands[left, k][:, None] != bands[right, k][None, :]
         root = ids.copy()
         while True:  # least id over links until nothing changes
             big = np.iinfo(np.int64).max
@@ -152,51 +164,72 @@ def _verify(n: int, threshold: float):
         key, rows = None, []
 
         def flush():
-            out = group(rows, key[1], key[2])
+            out = group(rows, *key[1:])
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                cols = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "rep", "text", "n", "blk")]
-                for comp, i, j, rep, text, copies, blk in zip(*cols, strict=True):
-                    if key != (comp, i, j):
+                cols = [batch.column(c).to_pylist() for c in ("cell", "band", "i", "j", "v", "text", "n", "blk", "bands")]
+                for cell, band, i, j, *row in zip(*cols, strict=True):
+                    if key != (cell, band, i, j):
                         if rows:
                             yield flush()
-                        key, rows = (comp, i, j), []
-                    rows.append((rep, text, copies, blk))
+                        key, rows = (cell, band, i, j), []
+                    rows.append(tuple(row))
             if rows:
                 yield flush()
 
     return run
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """cell, band, nb: the blocks that the rows of a cell are dealt into."""
+    return members.groupBy("cell", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_TEXT)).cast("int").alias("nb"))
+
+
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least doc_id of those connected by links), copy_id (least doc_id with the same n-grams), n_links."""
+    """doc_id, class_id (least doc_id of those connected by links), copy_id (least doc_id with the same n-grams), n_links, and
+    leads (whether it is the one of its connected group that comes first), text_a, text_b (hashes of the text that tell rows of a doc_id apart)."""
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("k", F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))))
-    sig = materialize(keyed.mapInArrow(_signatures(n, bands, rows), "k long, doc_id long, size long, f1 long, f2 long, bands array<long>"), "signatures")
+    ident = F.col(id_col).cast("long")
+    keyed = docs.select(ident.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b"))
+    keyed = keyed.select("*", F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.col("a").bitwiseOR(F.lit(-(1 << 63)))).alias("k"))
+    sig = materialize(keyed.mapInArrow(_signatures(n, bands, rows), "doc_id long, z boolean, k long, a long, b long, bytes long, size long, f1 long, f2 long, bands array<long>"), "signatures")
     some = sig.where("size > 0")
-    classes = materialize(some.groupBy("f1", "f2").agg(F.min("k").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("rep", F.posexplode("bands").alias("band", "h"))
-    shared = materialize(spread.groupBy("band", "h").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("band", "h", "pivot"), "bands")
-    edges = spread.join(shared, ["band", "h"]).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    comp = components(edges)
-    cand = materialize(comp.join(classes.select("rep", "n"), comp["v"] == F.col("rep")).select("rep", "n", F.col("c").alias("comp")), "candidates")
-    few = cand.count() <= BROADCAST_ROWS
-    texts = keyed.where(F.col("text").isNotNull()).select(F.col("k").alias("rep"), "text")
-    full = materialize(texts.join(F.broadcast(cand) if few else cand, "rep"), "texts")
-    size = materialize(full.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_TEXT)).cast("int").alias("nb")), "sizes")
-    dealt = full.join(size, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    lead = F.struct(*_KEY)
+    classes = some.groupBy("f1", "f2").agg(F.min(lead).alias("lead"), F.count("*").alias("n"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    spread = classes.select("v", F.posexplode("bands").alias("band", "h"))
+    shared = materialize(spread.groupBy("band", "h").agg(F.min("v").alias("pivot"), F.max("v").alias("most")).where("pivot < most").select("band", "h", "pivot"), "bands")
+    found = spread.join(shared, ["band", "h"])
+    comp = components(found.select(F.col("pivot").alias("a"), F.col("v").alias("b")))
+    cand = comp.join(classes, "v").select("v", "lead.*", "n", "bytes", "bands", F.col("c").alias("cell"), F.lit(-1).alias("band"))
+    cand = materialize(cand, "candidates")
+    size = materialize(_blocks(cand), "sizes")
+    large = size.where("nb > 1").select("cell")
+    members = cand.join(size.where("nb = 1"), ["cell", "band"])
+    if not large.isEmpty():
+        apart = cand.join(large, "cell").drop("cell", "band").select("*", F.posexplode("bands").alias("band", "h"))
+        apart = materialize(apart.join(shared.select("band", "h"), ["band", "h"]).withColumn("cell", F.xxhash64("band", "h")).drop("h"), "cells")
+        members = members.unionByName(apart.join(_blocks(apart), ["cell", "band"]))
+    few = members.count() <= BROADCAST_ROWS
+    texts = keyed.where(F.col("text").isNotNull()).select(*_KEY, "text")
+    full = texts.join(F.broadcast(members) if few else members, [*_KEY])
+    dealt = full.withColumn("blk", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spot = F.pmod(F.xxhash64("comp") + F.col("i") * F.col("nb") + F.col("j") - F.floor(F.col("i") * (F.col("i") + 1) / 2), F.lit(parts)).cast("int")
-    placed = dealt.select(spot.alias("spot"), "comp", "i", "j", "rep", "text", "n", "blk").repartitionById(parts, "spot").sortWithinPartitions("comp", "i", "j", "rep")
+    spot = F.pmod(F.xxhash64("cell", "band") + F.col("i") * F.col("nb") + F.col("j") - F.floor(F.col("i") * (F.col("i") + 1) / 2), F.lit(parts)).cast("int")
+    placed = dealt.select(spot.alias("spot"), "cell", "band", "i", "j", "v", "text", "n", "blk", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"))
+    placed = placed.repartitionById(parts, "spot").sortWithinPartitions("cell", "band", "i", "j", "v")
     found = materialize(placed.drop("spot").mapInArrow(_verify(n, threshold), "a long, b long, links long"), "links")
+    links = found.groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
     labels = components(found)
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    about = classes.select("f1", "f2", "rep", "n").join(labels, F.col("rep") == F.col("v"), "left").join(links, "rep", "left")
-    about = materialize(about.select("f1", "f2", "rep", F.coalesce("c", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "about")
-    named = some.select("doc_id", "k", "f1", "f2").join(about, ["f1", "f2"]).select("doc_id", F.col("c").alias("class_id"), F.col("rep").alias("copy_id"), "n_links")
-    alone = sig.where("size = 0").select("doc_id", F.col("k").alias("class_id"), F.col("k").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    first = labels.join(classes.select("v", "lead"), "v").groupBy("c").agg(F.min("lead").alias("first"))
+    about = classes.select("f1", "f2", "v", "lead", "n").join(labels, "v", "left").join(links, "v", "left").join(first, "c", "left")
+    about = materialize(about.select("f1", "f2", F.coalesce("first", "lead").alias("first"), "lead", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "about")
+    named = some.select("doc_id", lead.alias("own"), "f1", "f2").join(about, ["f1", "f2"])
+    hashes = lambda c: [F.col(f"{c}a").alias("text_a"), F.col(f"{c}b").alias("text_b")]
+    named = named.select("doc_id", F.col("first.k").alias("class_id"), F.col("lead.k").alias("copy_id"), "n_links", (F.col("own") == F.col("first")).alias("leads"), *hashes("own."))
+    alone = sig.where("size = 0").select("doc_id", F.col("k").alias("class_id"), F.col("k").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("leads"), *hashes(""))
     return named.unionByName(alone)

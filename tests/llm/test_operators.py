@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.llm import decontaminate, htmltext, langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
 
@@ -203,28 +204,124 @@ def test_suffix_array():
         assert texts == sorted(texts) and differs.tolist() == [i == 0 or texts[i] != texts[i - 1] for i in range(300)]
 
 
-def test_line_dedup(spark, docs, texts):
-    rows = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
-    assert len(rows) == len(texts) and "source" in linededup.dedup_lines(docs).columns
-    assert rows[46 + 5]["text"] is None or rows[51]["text"] is not None
-    assert [rows[i]["n_removed"] for i in range(5)] == [0] * 5  # first bearers keep all
-    assert any(rows[40 + i]["n_removed"] for i in range(5))
+def deduped_lines(rows):
+    """Brute force, from the definition: (id, text) -> text without repeated chunks."""
+    def order(row):
+        return (row[0] is None, row[0] or 0)
+
+    def cut(text):
+        lines, out, prev = text.split("\n"), [[]], 0
+        for x in lines:
+            h = int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+            out[-1].append(x)
+            if (prev * 31 + h) % linededup.SPARSE == 0:
+                out.append([])
+            prev = h
+        return out if out[-1] else out[:-1]
+
+    seen, out = set(), {}
+    for row in sorted({r for r in rows if r[1] is not None}, key=order):
+        keep = []
+        for c in cut(row[1]):
+            if len(c) < linededup.LEAST or "\n".join(c) not in seen:
+                keep += c
+            if len(c) >= linededup.LEAST:
+                seen.add("\n".join(c))
+        out[row] = "\n".join(keep)
+    return out
+
+
+@pytest.mark.parametrize("few", [linededup.BROADCAST_ROWS, 0])
+def test_line_dedup(spark, texts, monkeypatch, few):
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", few)
+    rows = [*texts, texts[3], (90, "one\ntwo\none\ntwo\none\ntwo\nthree\none\ntwo"), (91, "\n\n\n\n"), (92, "\n\n\n\n")]
+    df = spark.createDataFrame([(i, t, -1, "gone", [1], 5, 6) for i, t in rows], "doc_id long, text string, _k long, gone string, _out array<int>, n_removed long, d int")
+    got = linededup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_k", "gone", "_out", "d", "n_lines", "n_removed"]
+    want, found = deduped_lines(rows), got.collect()
+    assert len(found) == len(rows)
+    by = {}
+    for i, t in rows:
+        by.setdefault(i, set()).add(t)
+    for r in found:
+        (t,) = by[r["doc_id"]]
+        assert r["text"] == (want[r["doc_id"], t] if t is not None else None)
+        assert r["n_lines"] == (len(t.split("\n")) if t is not None else 0)
+        assert (r["_k"], r["gone"], r["_out"], r["d"]) == (-1, "gone", [1], 6)
+    assert sum(r["n_removed"] for r in found) > 20
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
-def test_near_duplicates(spark, docs, texts):
-    def grams(t):
-        w = re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = {i: grams(t) for i, t in texts}
-    links = {i: sum(1 for j, s in sets.items() if j != i and s and sets[i] and len(s & sets[i]) >= 0.8 * len(s | sets[i])) for i in sets}
-    got = {r["doc_id"]: r for r in neardup.join(docs).collect()}
-    assert {i: r["n_links"] for i, r in got.items()} == links
-    assert all(got[40 + i]["class_id"] == i for i in range(5))
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    lines = "\n".join(f"shared line {k}" for k in range(12))
+    own = "\n".join(f"unrelated line {k}" for k in range(12))
+    for i in (7, None):
+        rows = linededup.dedup_lines(spark.createDataFrame([(1, lines), (i, lines), (i, own), (i, own)], "doc_id long, text string")).collect()
+        assert sorted(r["text"] for r in rows if "unrelated" in r["text"]) == [own, own]
+        assert [r["n_removed"] > 3 for r in rows if r["doc_id"] == i and "unrelated" not in r["text"]] == [True]
+        assert [r["n_removed"] for r in rows if r["doc_id"] == 1] == [0]
+
+
+def grams(t):
+    w = re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def linked_rows(rows):
+    """Brute force: for each row the rows it is linked with, and those it is connected with (itself too)."""
+    sets = [grams(t) for _, t in rows]
+    links = [{j for j, s in enumerate(sets) if j != i and s and own and len(s & own) >= 0.8 * len(s | own)} for i, own in enumerate(sets)]
+    groups = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        groups.append(seen)
+    return links, groups
+
+
+@pytest.mark.parametrize("block, few", [(neardup.BLOCK_DOCS, neardup.BROADCAST_ROWS), (4, 0)])
+def test_near_duplicates(spark, texts, monkeypatch, block, few):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", few)
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    long = rng.choices(vocab, k=90)
+    rows = [*texts, texts[2], texts[50], (None, texts[4][1]), (None, "nobody has this text but me alone"), (3, " ".join(long))]
+    for i in range(40):  # a chain: ever further from `long`
+        at = rng.randrange(len(long))
+        long = [*long[:at], rng.choice(vocab), *long[at + 1 :]] if i % 3 else long[:]
+        rows.append((200 + i, " ".join(long) + "." * (i % 2)))
+    links, groups = linked_rows(rows)
+    assert max(map(len, groups)) > 30 and any(len(links[i]) < len(g) - 1 for i, g in enumerate(groups))
+    df = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in rows], "doc_id long, text string, k long, v long, cell string").repartition(3)
+    got = {}
+    for r in neardup.join(df).collect():
+        got.setdefault((r["doc_id"], r["text_a"], r["text_b"]), []).append(r)
+    hashes = df.select("doc_id", "text", *[h.alias(c) for h, c in ((F.xxhash64("text"), "a"), (F.xxhash64(F.lit(1), "text"), "b"))]).distinct().collect()
+    key = {(r["doc_id"], r["text"]): (r["doc_id"], r["a"], r["b"]) for r in hashes}
+    for (i, row), link, group in zip(enumerate(rows), links, groups):
+        mine = got[key[row]]
+        assert len(mine) == rows.count(row) and {r["n_links"] for r in mine} == {len(link)}
+        ids = [rows[j][0] for j in group if rows[j][0] is not None]
+        assert not ids or {r["class_id"] for r in mine} == {min(ids)}
+        assert ids or all(r["class_id"] < 0 for r in mine)
+        twins = [rows[j][0] for j in range(len(rows)) if grams(rows[j][1]) == grams(row[1]) and grams(row[1]) and rows[j][0] is not None]
+        assert not twins or {r["copy_id"] for r in mine} == {min(twins)}
+    for group in map(frozenset, groups):
+        assert len({key[rows[j]] for j in group if got[key[rows[j]]][0]["leads"]}) == 1
     assert neardup.join(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, one), (1, "something else entirely that no other document says"), (2, one.replace("word59", "other")), (5, "given twice as it is for once"), (5, "given twice as it is for once")]
+    got = {(r["doc_id"], r["n_links"], r["class_id"]) for r in neardup.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1), (1, 0, 1), (2, 1, 1), (5, 1, 5)}
+
+
 def test_decontamination(spark, docs):
     item = "the quick crimson llama silently ordered seventeen purple lanterns before dawn arrived. Its answer was marigold under glass."
     leak = [(900, "intro words here " * 20 + item + " and more text " * 9), (901, "nothing to see"), (902, None)]
