@@ -367,6 +367,55 @@ def test_html(spark):
     assert not any("slogan" in r["text"] for r in got) and all(r["text"] for r in got)
 
 
+def shop(i, menu, words=30):
+    """A page without telling names: a menu, a text of its own, links that change, a line at the end."""
+    rng = random.Random(i)
+    own = "".join(f"<p>{' '.join(rng.choices(WORDS, k=words))} {i} {k}</p>" for k in range(rng.randint(1, 6)))
+    return f"<body><div class=x1>{menu}</div><div class=x2><h2>Own {i}</h2>{own}<p>Share this with your friends today</p></div><div class=x3><p>Shared words at the end of it</p></div></body>"
+
+
+def test_html_tree_without_names(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "_NOISE_TAGS", frozenset())
+    monkeypatch.setattr(htmltext, "_NOISE_WORDS", frozenset())
+    menu = "<div>" + "".join(f"<p>Item number {k}</p>" for k in range(6)) + "</div>"
+    pages = [(i, f"https://Shop.example/{i}", shop(i, menu)) for i in range(12)] + [(50, "https://alone.example/", shop(50, menu)), (51, None, shop(51, menu)), (52, "https://shop.example/52", "<i>no block</i>")]
+    rows = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame([(*p, 1, "z") for p in pages], "page_id long, url string, html string, host int, cut string")).collect()}
+    for i in range(12):
+        assert rows[i].startswith(f"Own {i}\n") and not re.search("Item number|Shared words|Share this", rows[i]) and rows[i].count("\n") == shop(i, menu).count(f" {i} ")
+    assert all("Item number 3" in rows[i] and "Shared words" in rows[i] for i in (50, 51)) and rows[52] == "no block"
+    whole = {p[0]: htmltext.main_text(htmltext.Page(p[2]), set()) for p in pages}
+    assert all(whole[i] != rows[i] for i in range(12))
+
+
+def test_html_tree_importance(spark):
+    menu = "<p>Home</p><p>News</p>"
+    pages = [(i, shop(i, menu)) for i in range(6)] + [(7, shop(3, "<p>other</p>")), (7, shop(3, "<p>another</p>"))]  # copies of page 3 are that page again
+    df = spark.createDataFrame([(1, h) for _, h in pages], "host long, html string")
+    branches, texts = htmltext.style_tree(df)
+    got = {r["node"]: r for r in branches.collect()}
+    import math
+
+    menu, own = got[htmltext._h("/body/div.x1/p")], got[htmltext._h("/body/div.x2")]
+    assert (menu["m"], own["m"]) == (6, 6)
+    logs = [math.log(6), math.log(6), 0.0, 0.0]  # Home, News, other, another
+    logs[2:] = [0.0, 0.0]
+    assert menu["content"] == pytest.approx(1 - sum(logs) / math.log(6) / 4)
+    seqs = {}
+    for i in range(6):
+        seqs.setdefault(shop(i, "").count(f" {i} "), []).append(i)
+    entropy = -sum(len(v) / 6 * math.log(len(v) / 6) for v in seqs.values()) / math.log(6)
+    assert own["presentation"] == pytest.approx(entropy) and own["content"] > 0.9
+    assert own["importance"] > 0.7 and got[htmltext._h("/body/div.x3")]["importance"] == pytest.approx(2 / 8 + 6 / 8 * (1 - 0.9) * 0, abs=0.01)
+    assert {round(r["importance"], 3) for r in texts.collect()} == {0.25}
+
+
+def test_html_rows(spark):
+    page = "<article><p>same text</p></article>"
+    rows = htmltext.extract(spark.createDataFrame([(1, "http://a.x/", page), (1, "http://a.x/", page), (None, "http://a.x/2", ""), (3, "http://a.x/3", "<p>" + "long word " * 200_000)], "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"][:9], r["n_chars"]) for r in rows) == [(0, "", 0), (1, "same text", 9), (1, "same text", 9), (3, "long word", 1_999_999)]
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_language(spark):
     rng = random.Random(3)
     words = {"en": "the of and to in is that it was for".split(), "de": "der die und das nicht ein ist mit sich auf".split()}
