@@ -38,9 +38,9 @@ def law_code(c: Column) -> Column:
 
 
 def law_code_kind(c: Column) -> Column:
-    return (
-        F.when(c.isNull(), "missing").when(c.rlike(r"^\d+(\.\d+)*$"), "systematic_number").when(c.rlike("/"), "cantonal").when(c.rlike(r"^[A-Z]{2,}$"), "acronym").when(c.rlike(r"\s"), "compound").when(c.rlike(r"^[A-Z][A-Za-z]+$"), "abbreviation").otherwise("other")
-    )
+    """What a law code looks like."""
+    kind = F.when(c.isNull() | (c == ""), "unresolved_law_code").when(c.rlike(r"^\d+(\.\d+)*$"), "systematic_collection_number").when(c.contains("/"), "cantonal_or_slash_abbreviation")
+    return kind.when(c.contains("-"), "compound_abbreviation").when(c.rlike(r"\s\d+$"), "numbered_abbreviation").when(c.rlike(r"^[A-Z]{2,6}$"), "uppercase_abbreviation").otherwise("mixedcase_abbreviation")
 
 
 def article_series(c: Column) -> Column:
@@ -79,19 +79,14 @@ def expand_range(c: Column, most: int = 50) -> Column:
     return F.when(ok, F.concat(refs(head), F.when(bare.isNotNull(), refs(F.concat(bare, F.lit(" ")))).otherwise(empty))).otherwise(empty)
 
 
-def reporter_citations(c: Column) -> Column:
-    """All BGE/ATF/DTF citations of a text, as canonical BGE strings in order, each once."""
-    p = rf"\b(?:BGE|ATF|DTF)\s+\d{{3}}\s+[IVX]{{1,4}}\s+\d+[a-z]?(?:\s+(?:E\.|S\.|consid\.|cons\.|c\.)\s*{PINPOINT})?"
-    canon = lambda x: squash(F.regexp_replace(F.regexp_replace(x, r"^(?:ATF|DTF)", "BGE"), r"\s(?:consid\.|cons\.|c\.)\s*|\sE\.\s*", " E. "))
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), canon))
-
-
 def official_refs(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\bSR\s+\d+(?:\.\d+)*|\b(?:BBl|AS)\s+\d{4}\s+\d+"), F.lit(0)), squash))
 
 
 def docket_kind(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d{1,2}[A-Z]{1,2}_"), "modern_underscore").when(c.rlike(r"^\d{1,2}[A-Z]{1,2}\."), "modern_dot").when(c.rlike(r"^\d{1,2}[A-Z]{1,2} "), "modern_space").when(c.rlike(rf"^{LEGACY}"), "legacy").otherwise("unknown")
+    """The kind of the docket that a string begins with."""
+    kind = F.when(c.rlike(r"^\d{1,2}[A-Z]{1,2}[_ ]\d"), "federal_tribunal_modern_docket").when(c.rlike(r"^\d{1,2}[A-Z]{1,2}\.\d"), "federal_tribunal_dot_docket")
+    return kind.when(c.rlike(rf"^{LEGACY}"), "federal_tribunal_legacy_single_letter_docket").otherwise("unknown_docket")
 
 
 def docket_parts(c: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
@@ -19,21 +16,10 @@ from ..operators import lexical as X
 from ..operators import vector as V
 from ..streaming import events as S
 from . import fixtures as fx
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from . import forms  # noqa: F401
+from .registry import QUERIES as _QUERIES
+from .registry import SQL as _SQL
+from .registry import Query, query
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
@@ -54,7 +40,7 @@ _TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lamb
 @query(
     rf"""SELECT statute, regexp_extract(statute, 'Art\. (\d+)', 1) || ' ' || regexp_extract(statute, '([A-Z]+[A-Za-z]*[A-Z]|[A-Z]{{2,}})$', 1) AS anchor,
   'Art. ' || regexp_extract(statute, '^Art\. (\d+)', 1) || ' ' || regexp_extract(statute, '(\S+)$', 1) AS article, 'law' AS family, regexp_extract(statute, '(\S+)$', 1) AS code,
-  CASE WHEN regexp_matches(regexp_extract(statute, '(\S+)$', 1), '^[A-Z]{{2,}}$') THEN 'acronym' ELSE 'abbreviation' END AS kind, FALSE AS article_level
+  CASE WHEN regexp_matches(regexp_extract(statute, '(\S+)$', 1), '^[A-Z]{{2,}}$') THEN 'uppercase_abbreviation' ELSE 'mixedcase_abbreviation' END AS kind, FALSE AS article_level
 FROM (SELECT DISTINCT statute FROM ({_CASES}) c) d"""
 )
 def citation_statutes(spark, d):
@@ -76,7 +62,7 @@ def citation_courts(spark, d):
 
 
 @query(
-    f"""SELECT dated, docket || ' E. 2.' || regexp_extract(dated, '2\\.(\\d+)-', 1) || '-2.' || regexp_extract(dated, '-2\\.(\\d+)$', 1) AS undated, 'modern_underscore' AS kind, 6 AS members,
+    f"""SELECT dated, docket || ' E. 2.' || regexp_extract(dated, '2\\.(\\d+)-', 1) || '-2.' || regexp_extract(dated, '-2\\.(\\d+)$', 1) AS undated, 'federal_tribunal_modern_docket' AS kind, 6 AS members,
   regexp_extract(dated, '^(.*)E\\.', 1) || 'E. 2.' || regexp_extract(dated, '2\\.(\\d+)-', 1) AS first_member, docket || ' E. 2.' || regexp_extract(dated, '-2\\.(\\d+)$', 1) AS last_member
 FROM (SELECT DISTINCT dated, docket FROM ({_CASES}) c) d"""
 )
@@ -94,7 +80,7 @@ def citation_extraction(spark, d):
     """Statutes and reporter citations parsed back out of one text an order."""
     text = fx.lines(spark, d).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(", ", "statute", "court"))), "; gemäss ").alias("text"))
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ";")
-    return text.select("l_orderkey", join(P.statute_articles("text")).alias("statutes"), join(C.reporter_citations(col("text"))).alias("courts"))
+    return text.select("l_orderkey", join(P.statute_articles("text")).alias("statutes"), join(P.reporter_citations("text")).alias("courts"))
 
 
 @query(
