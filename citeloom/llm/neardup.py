@@ -29,6 +29,8 @@ from .graph import components
 
 #: Classes of a block and bytes of its texts; candidates (some 60 bytes each) that may be broadcast; columns of a product.
 BLOCK_DOCS, BLOCK_TEXT, BROADCAST_ROWS, COLUMNS = 256, 16 << 20, 400_000, 2048
+#: Tasks that a connected set is dealt over when its classes learn its first document.
+SALT = 16
 _KEY = ("z", "k", "a", "b")
 
 
@@ -208,7 +210,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     cand = materialize(cand, "candidates")
     size = materialize(_blocks(cand), "sizes")
     large = size.where("nb > 1").select("cell")
-    members = cand.join(size.where("nb = 1"), ["cell", "band"])
+    members = cand.join(size.where("nb = 1"), ["cell", "band"]).withColumn("bands", F.lit(None).cast("array<long>"))
     if not large.isEmpty():
         apart = cand.join(large, "cell").drop("cell", "band").select("*", F.posexplode("bands").alias("band", "h"))
         apart = materialize(apart.join(shared.select("band", "h"), ["band", "h"]).withColumn("cell", F.xxhash64("band", "h")).drop("h"), "cells")
@@ -220,13 +222,15 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     dealt = dealt.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spot = F.pmod(F.xxhash64("cell", "band") + F.col("i") * F.col("nb") + F.col("j") - F.floor(F.col("i") * (F.col("i") + 1) / 2), F.lit(parts)).cast("int")
-    placed = dealt.select(spot.alias("spot"), "cell", "band", "i", "j", "v", "text", "n", "blk", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"))
+    placed = dealt.select(spot.alias("spot"), "cell", "band", "i", "j", "v", "text", "n", "blk", "bands")
     placed = placed.repartitionById(parts, "spot").sortWithinPartitions("cell", "band", "i", "j", "v")
     found = materialize(placed.drop("spot").mapInArrow(_verify(n, threshold), "a long, b long, links long"), "links")
     links = found.groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
     labels = components(found)
     first = labels.join(classes.select("v", "lead"), "v").groupBy("c").agg(F.min("lead").alias("first"))
-    about = classes.select("f1", "f2", "v", "lead", "n").join(labels, "v", "left").join(links, "v", "left").join(first, "c", "left")
+    spots = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))  # a large connected set is dealt over several tasks
+    named = labels.withColumn("s", F.pmod("v", F.lit(SALT)).cast("int")).join(first.withColumn("s", spots), ["c", "s"]).select("v", "first")
+    about = classes.select("f1", "f2", "v", "lead", "n").join(named, "v", "left").join(links, "v", "left")
     about = materialize(about.select("f1", "f2", F.coalesce("first", "lead").alias("first"), "lead", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "about")
     named = some.select("doc_id", lead.alias("own"), "f1", "f2").join(about, ["f1", "f2"])
     hashes = lambda c: [F.col(f"{c}a").alias("text_a"), F.col(f"{c}b").alias("text_b")]
