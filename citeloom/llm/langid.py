@@ -1,13 +1,15 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are the hashed 1- to 3-grams of the lower-cased code points of a whole text, weighted by their share of the
-text's n-grams and by inverse document frequency over all learning documents. Weights are learned by the
-follow-the-regularised-leader rule with elastic-net penalties, which leaves most of them zero, on a sample bounded by
-`sample` documents; the temperature that calibrates the probabilities is fitted on a fifth of that sample that the
-weights never saw. Prediction reads a text once and needs no shuffle.
+text's n-grams and by inverse document frequency over all learning documents. The labels are those of all learning
+documents. Weights are learned by the follow-the-regularised-leader rule with elastic-net penalties on a sample bounded by
+`sample` documents, spread evenly over the labels, so a rare language is learnt too; the sample travels as features, so its
+bytes are bounded by it. The L1 penalty is the largest of PENALTIES whose loss on a fifth of the sample that the weights
+never saw is within TOLERANCE of the least; most weights are zero under it. The same fifth fits the temperature that
+calibrates the probabilities. Prediction reads a text once and needs no shuffle.
 
 A text that is null or holds no letter is `und` with score 0. Without learnable documents every text is `und`. Repeated
-rows are predicted each; extra columns are ignored.
+rows are predicted each; rows with a null doc_id are learning rows; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from .common import blocks, mix
 
 #: Hashed n-gram features; documents the weights are fitted on at most; passes over them.
 FEATURES, SAMPLE, PASSES = 1 << 16, 4000, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2e-4, 1e-4
+ALPHA, BETA, L2 = 0.3, 1.0, 1e-4
+#: L1 penalties to choose from, and the loss that the choice may cost.
+PENALTIES, TOLERANCE = (0.01, 0.03, 0.1, 0.3), 0.02
 _MARK = np.uint64(32)
 
 
@@ -106,28 +110,42 @@ class Model:
 
     def fit(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
         """The data are in hash order, so the last fifth is a random fifth."""
-        k, cut = len(self.labels), max(1, len(y) * 4 // 5) if len(y) > 4 else len(y)
+        cut = max(1, len(y) * 4 // 5) if len(y) > 4 else len(y)
+        held = list(range(cut, len(y)) if cut < len(y) else range(len(y)))
+        target = y[held]
+        loss = lambda logits, t: -np.mean(np.log(np.maximum(_softmax(logits / t)[np.arange(len(target)), target], 1e-12)))
+        tried = []
+        for penalty in PENALTIES:
+            self._learn(vectors, y, cut, penalty, 1)
+            tried.append(loss(self._logits(vectors, held), 1.0))
+        self.penalty = max(p for p, x in zip(PENALTIES, tried, strict=True) if x <= min(tried) + TOLERANCE)
+        self._learn(vectors, y, cut, self.penalty, PASSES)
+        logits = self._logits(vectors, held)
+        grid = np.exp(np.linspace(np.log(0.01), np.log(20), 241))
+        self.temperature = float(grid[int(np.argmin([loss(logits, t) for t in grid]))])
+        return self
+
+    def _logits(self, vectors: list[tuple[np.ndarray, np.ndarray]], rows: list[int]) -> np.ndarray:
+        return np.array([self.weights[vectors[i][0]].T @ vectors[i][1] + self.bias for i in rows])
+
+    def _learn(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cut: int, penalty: float, passes: int) -> None:
+        k = len(self.labels)
         z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
-        for step in range(PASSES):
+        for step in range(passes):
             for i in np.random.default_rng(step).permutation(cut):
                 f, tf = vectors[i]
                 f = np.append(f, FEATURES)
                 x = np.append(tf * self.idf[f[:-1]], 0.1)[:, None] * 10
-                w = _leader(z[f], n[f])
+                zi, ni = z[f], n[f]
+                w = _leader(zi, ni, penalty)
                 p = _softmax(w.T @ x[:, 0])
                 g = x * (p - (np.arange(k) == y[i]))[None, :]
-                zi, ni = z[f], n[f]
-                sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-                z[f] = zi + g - sigma * w
-                n[f] = ni + g * g
-        w = _leader(z, n)
+                more = ni + g * g
+                z[f] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
+                n[f] = more
+        w = _leader(z, n, penalty)
+        self.seen = n[:-1] > 0
         self.weights, self.bias = (w[:-1] * self.idf[:, None] * 10).astype(np.float32), w[-1]
-        held = range(cut, len(y)) if cut < len(y) else range(len(y))
-        logits = np.array([self.weights[vectors[i][0]].T @ vectors[i][1] + self.bias for i in held])
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 241))
-        loss = [-np.mean(np.log(np.maximum(_softmax(logits / t)[np.arange(len(logits)), y[list(held)]], 1e-12))) for t in grid]
-        self.temperature = float(grid[int(np.argmin(loss))])
-        return self
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(label or -1, probability) of each document."""
@@ -145,9 +163,9 @@ class Model:
         return np.where(none, -1, p.argmax(axis=1)), np.where(none, 0.0, p.max(axis=1))
 
 
-def _leader(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _leader(z: np.ndarray, n: np.ndarray, penalty: float) -> np.ndarray:
     """The weights that lead under the elastic net: zero where the summed gradient stays within the L1 penalty."""
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    return np.where(np.abs(z) <= penalty, 0.0, -(z - np.sign(z) * penalty) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -155,8 +173,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of sampled texts: at most FEATURES of them, whatever a text's length."""
+    for batch, data, offs in blocks(batches, "text"):
+        found = _vector(data, offs)
+        cols = [batch.column("o"), batch.column("lang"), pa.array([f.astype(np.int32).tobytes() for f, _ in found], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["o", "lang", "f", "w"])
+
+
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
-    """docs: doc_id, text, lang. Frequencies cover every row where `learn` holds; weights a sample of at most `sample` or so."""
+    """docs: doc_id, text, lang. Frequencies and labels cover every row where `learn` holds; weights a sample of at most `sample` or so."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["f"]: r["n"] for r in rows.select("text").mapInArrow(_document_frequency, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     n = counts.pop(-1, 0)
@@ -164,16 +190,14 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
         return None
     df = np.zeros(FEATURES)
     df[list(counts)] = list(counts.values())
-    order = F.xxhash64("doc_id", F.lit(7))
-    share = min(1.0, sample / n)
-    picked = rows if share == 1.0 else rows.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = picked.select("text", "lang", order.alias("o")).toArrow().sort_by([("o", "ascending"), ("text", "ascending")])
-    labels = sorted(set(got["lang"].to_pylist()))
-    if not labels:
-        return None
-    vectors = [v for part in got.combine_chunks().to_batches() for _, data, offs in blocks(iter([part]), "text") for v in _vector(data, offs)]
-    y = np.array([labels.index(x) for x in got["lang"].to_pylist()])
-    return Model(labels, np.log((1 + n) / (1 + df)) + 1).fit(vectors, y)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labels, order = sorted(sizes), F.xxhash64("doc_id", F.lit(7))
+    limit = F.coalesce(*[F.when(F.col("lang") == x, int(min(1.0, sample / len(labels) / sizes[x]) * (1 << 30))) for x in labels])
+    picked = rows.where(F.pmod(order, F.lit(1 << 30)) < limit).select("text", "lang", order.alias("o"))
+    got = picked.mapInArrow(_sampled, "o long, lang string, f binary, w binary").toArrow().sort_by([("o", "ascending"), ("f", "ascending"), ("lang", "ascending")])
+    vectors = [(np.frombuffer(f, np.int32), np.frombuffer(w, np.float32)) for f, w in zip(got["f"].to_pylist(), got["w"].to_pylist(), strict=True)]
+    y = np.array([labels.index(x) for x in got["lang"].to_pylist()], np.int64)
+    return Model(labels, np.log((1 + n) / (1 + df)) + 1).fit(vectors, y) if len(y) else None
 
 
 def _predictor(model: Model | None):
