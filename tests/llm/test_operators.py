@@ -184,7 +184,7 @@ def test_corpus_order_of_a_bucket(most):
     pack = lambda v, k: np.array(v, k).tobytes()
     halves = [range(0, 25), range(25, 60)]
     cols = {"row": [0, 1], "key": [pack([0] * len(h), np.uint32) for h in halves], "doc": [pack([docs[i] for i in h], np.int64) for h in halves], "first": [pack([1000 * i for i in h], np.uint32) for h in halves], "n": [pack([len(texts[i]) for i in h], np.uint16) for h in halves], "data": ["".join(texts[i] for i in h).encode() for h in halves]}
-    got = substrings._decide(50, most)(pa.table(cols)).to_pylist()
+    got = [{"row": r["row"], "a": a, "b": b} for r in substrings._decide(50, most)(pa.table(cols)).to_pylist() for a, b in zip(*(x.tolist() for x in substrings._unpacked(r["cuts"])))]
     least = {}
     for t, d in zip(texts, docs):
         for p in range(len(t) - 49):
