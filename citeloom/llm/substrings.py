@@ -41,12 +41,13 @@ from .common import blocks, materialize, mix, prefix_hashes, shared_dir, span_ha
 #: Bytes of a row of documents; bytes hashed at once; bytes of text a bucket of pieces answers for; starts sorted at once.
 ROW_BYTES, CHUNK, BUCKET_BYTES, SLICE = 1 << 20, 1 << 20, 8 << 20, 1 << 19
 #: Rows that may bear a piece in its bucket; answers that may be broadcast; corpus from which on rows are written in buckets.
-HOT, BROADCAST_BYTES, BUCKETED_BYTES = 20_000, 48 << 20, 8 << 30
+HOT, BROADCAST_BYTES, BUCKETED_BYTES = 20_000, 32 << 20, 2 << 30
 #: Width of the trigger, mean length of a phrase, width of a piece.
 TRIGGER, PHRASE, PIECE = 16, 192, 28
 _MOST = (1 << 63) - 1
 _ROW = "row long, ids array<long>, offs array<int>, starts array<int>, data binary"
 _NONE = np.zeros(0, np.int64)
+_SPAN = np.uint32
 
 
 def _phrases(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -341,12 +342,28 @@ def _decide(span: int, most: int = SLICE):
                 f = first[p[w[cut]]].astype(np.int64)
                 out.append((row[p[w[cut]]], f + s[cut], f + s[tail] + span))
             x = y
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [_NONE] * 3
-        return pa.table({"row": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1].astype(np.int32)), "b": pa.array(cols[2].astype(np.int32))})
+        if not out:
+            return pa.table({"row": pa.array([], pa.int64()), "cuts": pa.array([], pa.binary())})
+        row, begin, end = (np.concatenate(c) for c in zip(*out, strict=True))
+        by = np.lexsort((begin, row))
+        row, spans = row[by], np.stack([begin[by], end[by] - begin[by]], 1).astype(_SPAN)
+        x, y = _runs(row)
+        return pa.table({"row": row[x], "cuts": pa.array([_packed(spans[i:j]) for i, j in zip(x, y, strict=True)], pa.binary())})
 
     return run
 
 
+def _packed(spans: np.ndarray) -> bytes:
+    """Spans (begin, length) in four and two bytes."""
+    return spans[:, 0].tobytes() + spans[:, 1].astype(np.uint16).tobytes()
+
+
+def _unpacked(cuts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(cuts) // 6
+    begin = np.frombuffer(cuts, _SPAN, n).astype(np.int64)
+    return begin, begin + np.frombuffer(cuts, np.uint16, n, 4 * n)
+
+
 def _finish(span: int):
     def run(batches):
         for r, batch, i in _each(batches, span):
@@ -356,10 +373,13 @@ def _finish(span: int):
             last = last[last >= r.start[r.gone]]
             np.add.at(gone, r.start[s], 1)
             np.add.at(gone, last + span, -1)
-            cuts = batch.column("cuts")[i].values
-            if cuts is not None:
-                np.add.at(gone, cuts.field("a").to_numpy(), 1)
-                np.add.at(gone, cuts.field("b").to_numpy(), -1)
+            for cuts in batch.column("cuts")[i].as_py() or ():
+                begin, end = _unpacked(cuts)
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, end, -1)
+            if "singles" in batch.schema.names and (at := batch.column("singles")[i].values) is not None:
+                np.add.at(gone, at.to_numpy(), 1)
+                np.add.at(gone, at.to_numpy() + span, -1)
             dead = np.cumsum(gone)[:-1] > 0
             out = [[], [], [], []]
             for a, b in zip(r.offs[:-1].tolist(), r.offs[1:].tolist(), strict=True):
@@ -410,13 +430,13 @@ def dedup_substrings(docs: DataFrame, span: int = 50, hot_rows: int = HOT, bucke
     size, n_very = answers.agg(F.coalesce(F.sum(F.length("hot") + F.coalesce(F.length("very"), F.lit(0)) + 12), F.lit(0)), F.count("very")).first()
     told = _with(open_rows, answers.groupBy("row").agg(F.collect_list(F.struct("bucket", "hot", "very")).alias("answers")), size, bucketed)
     sent = told.mapInArrow(_send(span, buckets), "bucket int, row long, key binary, doc binary, first binary, n binary, data binary")
-    cuts = sent.groupBy("bucket").applyInArrow(_decide(span), "row long, a int, b int")
+    cuts = materialize(sent.groupBy("bucket").applyInArrow(_decide(span), "row long, cuts binary"), "cuts")
+    size = cuts.agg(F.coalesce(F.sum(F.length("cuts") + 16), F.lit(0))).first()[0]
+    per_row = cuts.groupBy("row").agg(F.collect_list("cuts").alias("cuts"))
+    done = _with(open_rows, per_row, size + 16 * count, bucketed)
     if n_very:
         each = materialize(told.mapInArrow(_strings(span, buckets), "s binary, doc long, row long, at array<int>"), "strings")
         least = each.groupBy("s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("s", "least")
-        at = each.join(least, "s").where("doc > least").select("row", F.explode("at").alias("a"))
-        cuts = cuts.union(at.select("row", "a", F.col("a") + span))
-    cuts = materialize(cuts, "cuts")
-    per_row = cuts.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    done = _with(open_rows, per_row, 8 * cuts.count() + 16 * count, bucketed)
+        at = materialize(each.join(least, "s").where("doc > least").groupBy("row").agg(F.flatten(F.collect_list("at")).alias("singles")), "singles")
+        done = _with(done, at, at.agg(F.coalesce(F.sum(4 * F.size("singles") + 16), F.lit(0))).first()[0], bucketed)
     return done.mapInArrow(_finish(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
