@@ -17,9 +17,11 @@ BLOCK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (tests, local mode) one is made."""
+    """The folder that all executors share; only a local session that names none gets one made."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="citeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
