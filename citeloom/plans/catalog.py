@@ -16,7 +16,7 @@ from ..operators import lexical as X
 from ..operators import vector as V
 from ..streaming import events as S
 from . import fixtures as fx
-from . import forms  # noqa: F401
+from . import channels, enrichment, forms  # noqa: F401
 from .registry import QUERIES as _QUERIES
 from .registry import SQL as _SQL
 from .registry import Query, query
