@@ -156,3 +156,142 @@ def backprop(seeds: DataFrame, edges: DataFrame, df: DataFrame, k: int) -> DataF
     """Statutes that the seeds cite: distinct seeds over ln(2 + citing documents)."""
     hit = seeds.join(edges, seeds["node"] == edges["source"]).groupBy("query_id", F.col("target").alias("node")).agg(F.count_distinct("source").alias("n"))
     return top(hit.join(df, "node").select("query_id", "node", (F.col("n") / F.log(2 + F.col("in_degree"))).alias("score")), k)
+
+
+# --- lookups over the graph of articles and judgments
+
+
+def reverse_adjacency(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("target").alias("node")).agg(F.sort_array(F.collect_list("source")).alias("cited_by"))
+
+
+def role_factor(role: Column, substantive: tuple[str, ...], boost: float = 1.5) -> Column:
+    return F.when(role.isin(*substantive), boost).otherwise(1.0)
+
+
+def with_roles(scored: DataFrame, roles: DataFrame, substantive: tuple[str, ...], k: int) -> DataFrame:
+    """Scores times the factor of the node's role, cut anew. roles: node, role."""
+    s = scored.join(roles, "node", "left").select("query_id", "node", (F.col("score") * role_factor(F.col("role"), substantive)).alias("score"))
+    return top(s, k)
+
+
+def through_judgments(seeds: DataFrame, members: DataFrame, most_bases: int, per_base: int) -> DataFrame:
+    """Rows of the seeds' judgments: the most seeded `most_bases` of a query, `per_base` rows of each by authority.
+
+    seeds: query_id, node; members: base, node, authority.
+    """
+    per = seeds.join(members.select("node", "base"), "node").groupBy("query_id", "base").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "base")
+    bases = per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_bases).drop("r")
+    rows = bases.join(members, "base").join(seeds, ["query_id", "node"], "left_anti")
+    w = Window.partitionBy("query_id", "base").orderBy(F.desc("authority"), "node")
+    return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= per_base).select("query_id", "base", "node", "rk")
+
+
+def adjacent(seeds: DataFrame, links: DataFrame, per_seed: int, most: int) -> DataFrame:
+    """Neighbour rows of seeds (links: node, other, place), so many of a seed and of a query."""
+    hit = seeds.join(links, "node").where(F.col("place") <= per_seed).groupBy("query_id", F.col("other").alias("node")).agg(F.min("place").alias("place"))
+    hit = hit.join(seeds, ["query_id", "node"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("place", "node")
+    return hit.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most).select("query_id", "node", "rk")
+
+
+def co_occurring(asked: DataFrame, edges: DataFrame, authority: DataFrame, most_docs: int, k: int) -> DataFrame:
+    """Statutes cited by the documents that cite what is asked for (the most_docs smallest names a query), by authority + ln(1 + n) / 10."""
+    citing = asked.distinct().join(edges, F.col("node") == F.col("target")).select("query_id", F.col("source").alias("doc")).distinct()
+    w = Window.partitionBy("query_id").orderBy("doc")
+    citing = citing.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_docs).drop("r")
+    n = citing.join(edges, F.col("doc") == F.col("source")).groupBy("query_id", F.col("target").alias("node")).agg(F.count("*").alias("n")).join(asked, ["query_id", "node"], "left_anti")
+    s = n.join(authority, "node", "left").select("query_id", "node", (F.coalesce("authority", F.lit(0.0)) + F.log1p("n") / 10).alias("score"))
+    return top(s, k)
+
+
+def most_citing(articles: DataFrame, edges: DataFrame, authority: DataFrame, k: int) -> DataFrame:
+    """The k judgments of most authority that cite an article; where none does, those that cite its parent. articles: node, parent."""
+    cites = lambda c: articles.join(edges, F.col(c) == F.col("target")).select("node", F.col("source").alias("case"))
+    own = cites("node").distinct()
+    rest = cites("parent").distinct().join(own, "node", "left_anti")
+    w = Window.partitionBy("node").orderBy(F.desc("authority"), "case")
+    hit = own.unionByName(rest).join(authority.select(F.col("node").alias("case"), "authority"), "case", "left").withColumn("authority", F.coalesce("authority", F.lit(0.0)))
+    return hit.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("node", "case", "rk")
+
+
+def cited_by_cases(cases: DataFrame, edges: DataFrame) -> DataFrame:
+    """Articles that a case cites; where it cites none, those that its judgment's rows cite. cases: case, base."""
+    own = cases.join(edges, F.col("case") == F.col("source")).select("case", F.col("target").alias("node")).distinct()
+    base = edges.withColumn("base", C.court_base(F.col("source")))
+    rest = cases.join(own, "case", "left_anti").join(base, "base").select("case", F.col("target").alias("node")).distinct()
+    return own.unionByName(rest)
+
+
+def related_cases(cases: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Cases that share most cited articles with a case. Articles meet by join; hot ones are dealt by the planner's skew join."""
+    own = cases.select("case").distinct().join(edges, F.col("case") == F.col("source")).select("case", "target").distinct()
+    n = own.join(edges.select(F.col("source").alias("other"), "target").distinct(), "target").where("other <> case").groupBy("case", "other").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("case").orderBy(F.desc("n"), "other")
+    return n.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+
+
+def pmi_companions(prior: DataFrame, totals: DataFrame, rows: int, k: int, least: int = 2) -> DataFrame:
+    """The k companions of an item by PMI = ln(max(n_ab * rows / (n_a * n_b), 1e-10)). prior: a, b, support; totals: item, n."""
+    both = prior.select("a", "b", "support").union(prior.select(F.col("b").alias("a"), F.col("a").alias("b"), "support")).where(F.col("support") >= least)
+    j = both.join(totals.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(totals.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
+    s = j.withColumn("pmi", F.log(F.greatest(F.col("support") * F.lit(float(rows)) / (F.col("na") * F.col("nb")), F.lit(1e-10))))
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("pmi", 6)), "b")
+    return s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("a", "b", "support", "pmi", "rk")
+
+
+def pool_companions(pool: DataFrame, companions_: DataFrame, k: int) -> DataFrame:
+    """A pool and the first k companions of each of its nodes. pool: query_id, node; companions: a, b, rk."""
+    more = pool.join(companions_.where(F.col("rk") <= k), F.col("node") == F.col("a")).select("query_id", F.col("b").alias("node"))
+    return pool.select("query_id", "node").union(more).distinct()
+
+
+def articles_to_cases(articles: DataFrame, edges: DataFrame, authority: DataFrame, per_article: int) -> DataFrame:
+    """Cases by the sum of 1 / (60 + rank) over the articles they rank for. articles: query_id, node."""
+    w = Window.partitionBy("query_id", "node").orderBy(F.desc(F.coalesce("authority", F.lit(0.0))), "case")
+    hit = articles.distinct().join(edges, F.col("node") == F.col("target")).select("query_id", "node", F.col("source").alias("case")).distinct()
+    hit = hit.join(authority.select(F.col("node").alias("case"), "authority"), "case", "left").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_article)
+    return hit.groupBy("query_id", F.col("case").alias("node")).agg(F.sum(1 / (60 + F.col("r"))).alias("score"))
+
+
+def citing_of(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges into a set of targets (target)."""
+    return edges.join(targets.select("target").distinct(), "target", "left_semi").select("source", "target")
+
+
+def origins_of(citations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """citation, law_mask, court_mask of the citations asked for. nodes: dataset, citation, origin_mask."""
+    hit = nodes.join(citations.select("citation").distinct(), "citation", "left_semi")
+    mask = lambda d: F.coalesce(F.bit_or(F.when(F.col("dataset") == d, F.col("origin_mask"))), F.lit(0))
+    found = hit.groupBy("citation").agg(mask("law").alias("law_mask"), mask("court").alias("court_mask"))
+    return citations.select("citation").distinct().join(found, "citation", "left").select("citation", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("law_mask", "court_mask")])
+
+
+def reference_expansion(seeds: DataFrame, edges: DataFrame, kids: DataFrame) -> DataFrame:
+    """Statutes that seed rows mention, and their paragraphs. seeds: query_id, node; kids: article, child."""
+    said = seeds.join(edges, F.col("node") == F.col("source")).select("query_id", F.col("target").alias("node")).distinct()
+    more = said.join(kids, F.col("node") == F.col("article")).select("query_id", F.col("child").alias("node"))
+    return said.union(more).distinct()
+
+
+def same_article(rows: DataFrame, most: int = 30) -> DataFrame:
+    """citation, siblings: other rows of the same article of a law, in natural order, `most` at most. rows: citation, law_code, article.
+
+    Rows pair by (law_code, article, place), so no article's rows are collected into one value unless they are few.
+    """
+    w = Window.partitionBy("law_code", "article").orderBy(C.natural_key(F.regexp_extract("citation", r"Abs\. (\S+)", 1)), "citation")
+    numbered = rows.withColumn("r", F.row_number().over(w))
+    first = numbered.where(F.col("r") <= most + 1)
+    pair = numbered.select("law_code", "article", "citation").join(first.select("law_code", "article", F.col("citation").alias("other"), "r"), ["law_code", "article"]).where("citation <> other")
+    w = Window.partitionBy("citation").orderBy("r")
+    cut = pair.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    return cut.groupBy("citation").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "other"))), lambda x: x["other"]).alias("siblings"))
+
+
+def edges_in_corpus(edges: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Edges with an end in the corpus, with both ends' judgments and the kind of the target. corpus: citation."""
+    known = corpus.select("citation").distinct()
+    side = lambda c: known.select(F.col("citation").alias(c), F.lit(True).alias(f"{c}_known"))
+    j = edges.select("source", "target").distinct().join(side("source"), "source", "left").join(side("target"), "target", "left").where("source_known OR target_known")
+    return j.select("source", "target", C.court_base(F.col("source")).alias("source_base"), C.court_base(F.col("target")).alias("target_base"), C.reference_family(F.col("target")).alias("target_kind"))

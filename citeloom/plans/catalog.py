@@ -16,7 +16,7 @@ from ..operators import lexical as X
 from ..operators import vector as V
 from ..streaming import events as S
 from . import fixtures as fx
-from . import channels, enrichment, forms  # noqa: F401
+from . import channels, enrichment, forms, knowledge, selection  # noqa: F401
 from .registry import QUERIES as _QUERIES
 from .registry import SQL as _SQL
 from .registry import Query, query
@@ -233,7 +233,7 @@ def graph_reverse(spark, d):
 
 
 @query(
-    f"""WITH e0 AS ({fx.EDGES_SQL}), e AS (SELECT source, target FROM e0 UNION SELECT target, source FROM e0), seeds AS (SELECT DISTINCT l_suppkey AS query_id, {fx.COURT} AS node FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1),
+    f"""WITH e0 AS ({fx.EDGES_SQL}), e AS (SELECT source, target FROM e0 UNION SELECT target, source FROM e0), seeds AS (SELECT DISTINCT l_suppkey AS query_id, {fx.COURT} AS node FROM lineitem WHERE l_quantity >= 49),
 o AS (SELECT DISTINCT query_id, target AS node FROM seeds JOIN e ON node = source), w AS (SELECT query_id, target AS node, CAST(count(*) AS DOUBLE) AS score FROM o JOIN e ON node = source GROUP BY 1, 2),
 s AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.query_id = w.query_id AND o.node = w.node) AND NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = w.query_id AND z.node = w.node)) {_SCORED}"""
 )
@@ -241,8 +241,7 @@ def graph_two_hops(spark, d):
     """Court rows two steps from the seeds."""
     e = fx.edges(spark, d)
     both = e.union(e.select("target", "source"))
-    s = fx.lines(spark, d).where("l_quantity >= 50 AND l_linenumber = 1").select(col("l_suppkey").alias("query_id"), col("court").alias("node")).distinct()
-    return _out(G.two_hops(s, both, 50))
+    return _out(G.two_hops(_seeds(spark, d), both, 50))
 
 
 @query(
