@@ -63,6 +63,11 @@ def holds(text: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _folded(s: str) -> str:
     from .grammar import fold as fold_text
 
@@ -79,23 +84,31 @@ def named_role(c: Column) -> Column:
 
 def paragraph_role(said: Column, text: Column, notification: Column | None = None) -> Column:
     """struct(role, said, corrected): a notification mark, else the first cue of the text, else what the model said."""
-    t = norm(text)
-    found = F.when(F.coalesce(notification, F.lit(False)), "notification") if notification is not None else F.when(F.lit(False), "")
-    for role, cues in ROLE_CUES.items():
-        found = found.when(holds(t, cues), role)
-    was = named_role(F.coalesce(said, F.lit("")))
-    role = F.coalesce(found, was)
-    return F.struct(role.alias("role"), was.alias("said"), (role != was).alias("corrected"))
+
+    def settle(t: Column) -> Column:
+        found = F.when(F.coalesce(notification, F.lit(False)), "notification") if notification is not None else F.when(F.lit(False), "")
+        for role, cues in ROLE_CUES.items():
+            found = found.when(holds(t, cues), role)
+        return found
+
+    def both(x: Column) -> Column:
+        role = F.coalesce(x["found"], x["was"])
+        return F.struct(role.alias("role"), x["was"].alias("said"), (role != x["was"]).alias("corrected"))
+
+    return _once(F.struct(_once(norm(text), settle).alias("found"), named_role(F.coalesce(said, F.lit(""))).alias("was")), both)
 
 
 def shown_outcome(text: Column, head: int = 1400) -> Column:
     """The outcome that a text's head states, null without any."""
-    t = norm(F.substring(text, 1, head))
-    part = holds(t, OUTCOME_PHRASES["in part"])
-    out = F.when(holds(t, OUTCOME_PHRASES["remitted"]), "remitted").when(holds(t, OUTCOME_PHRASES["inadmissible"]), "inadmissible")
-    for kind in ("granted", "dismissed"):
-        out = out.when(holds(t, OUTCOME_PHRASES[kind]), F.when(part, "partial").otherwise(kind))
-    return out
+
+    def settle(t: Column) -> Column:
+        part = holds(t, OUTCOME_PHRASES["in part"])
+        out = F.when(holds(t, OUTCOME_PHRASES["remitted"]), "remitted").when(holds(t, OUTCOME_PHRASES["inadmissible"]), "inadmissible")
+        for kind in ("granted", "dismissed"):
+            out = out.when(holds(t, OUTCOME_PHRASES[kind]), F.when(part, "partial").otherwise(kind))
+        return out
+
+    return _once(norm(F.substring(text, 1, head)), settle)
 
 
 def outcome_signal(said: Column, text: Column, role: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 
+#: Items of a basket whose pairs one task makes.
+LARGE = 2000
+
 
 def top(df: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", tie: str = "node") -> DataFrame:
     w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(F.round(score, 6)), tie)
@@ -60,6 +63,25 @@ def case_alias_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return distinct_edges(edges.select("source", "target").unionByName(fan.select("source", F.col("sib").alias("target"))))
 
 
+def case_alias_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source, n: how many edges `case_alias_edges` would give a source, without making them.
+
+    A source reaches all rows of the judgments that it cites, and what else it cites; itself is left out. So each judgment
+    is counted once a source, and targets that are rows of a cited judgment aren't counted again.
+    """
+    base = lambda c: C.undated_base(C.split_court(c)["base"])
+    rows = nodes.where(C.origin(1, F.col("origin_mask"))).select(F.col("citation").alias("row"), base(F.col("citation")).alias("base")).where("base IS NOT NULL")
+    sizes = rows.groupBy("base").agg(F.count("*").alias("size"))
+    e = edges.select("source", "target").distinct().withColumn("base", base(F.col("target")))
+    reached = e.where("base IS NOT NULL").select("source", "base").distinct().join(sizes, "base")
+    total = reached.groupBy("source").agg(F.sum("size").alias("n"))
+    own = reached.withColumn("row", F.col("source")).join(rows, ["row", "base"], "left_semi").groupBy("source").agg(F.count("*").alias("own"))
+    apart = e.where("source <> target").join(rows.select(F.col("row").alias("target"), "base"), ["target", "base"], "left_anti").groupBy("source").agg(F.count("*").alias("apart"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    out = total.join(own, "source", "left").join(apart, "source", "full")
+    return out.select("source", (z("n") - z("own") + z("apart")).alias("n")).where("n > 0")
+
+
 def own_reference_edges(rows: DataFrame) -> DataFrame:
     """Edges of references back into the own judgment. rows: citation, text."""
     from ..functions.parsers import own_references
@@ -131,12 +153,18 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int, beam: int) -> DataFra
 def pair_prior(baskets: DataFrame, least: int = 2) -> DataFrame:
     """Pairs of items of a basket (basket, item): support, confidences, Jaccard, PMI, NPMI.
 
-    Only pairs of one basket meet; baskets are citing rows, bounded by what one row cites.
+    Only pairs of one basket meet. What one row cites bounds a basket in such corpora, but its pairs grow with its square: a
+    basket above LARGE items is dealt into tiles of its items by hash, so no task holds all its pairs, and every pair still
+    meets once.
     """
     b = baskets.select("basket", "item").distinct()
+    tiles = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("basket")) / LARGE)).cast("int")
+    dealt = b.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("item"), F.col("tiles")).cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     n = b.groupBy("item").agg(F.count("*").alias("n"))
     total = b.agg(F.count_distinct("basket").alias("total"))
-    pair = b.alias("x").join(b.alias("y"), (F.col("x.basket") == F.col("y.basket")) & (F.col("x.item") < F.col("y.item")))
+    x, y = every.select("basket", "item", F.col("tile").alias("i"), F.col("other").alias("j")), every.select("basket", "item", F.col("other").alias("i"), F.col("tile").alias("j"))
+    pair = x.alias("x").join(y.alias("y"), (F.col("x.basket") == F.col("y.basket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.item") < F.col("y.item")))
     pair = pair.groupBy(F.col("x.item").alias("a"), F.col("y.item").alias("b")).agg(F.count("*").alias("support")).where(F.col("support") >= least)
     out = pair.join(n.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b").crossJoin(total)  # one row
     pmi = F.log(F.col("support") * F.col("total") / (F.col("na") * F.col("nb")))

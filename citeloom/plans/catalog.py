@@ -142,7 +142,11 @@ def token_counts(spark, d):
     return fx.table(spark, d, "documents").select(F.explode(T.tokens(col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query()
+_STEM = """WITH RECURSIVE w AS ({words}), s(word, n, stem) AS (SELECT word, n, word FROM w UNION ALL SELECT word, n, CASE WHEN regexp_matches(stem, '^.{{4,}}(en|es|em|er)$') THEN left(stem, length(stem) - 2) ELSE left(stem, length(stem) - 1) END FROM s WHERE regexp_matches(stem, '^.{{4,}}(en|es|em|er)$') OR (NOT regexp_matches(stem, '(en|es|em|er)$') AND regexp_matches(stem, '^.{{4,}}(e|n|s)$')))
+SELECT stem, sum(n) AS n, count(*) AS words FROM (SELECT word, arg_min(n, length(stem)) AS n, arg_min(stem, length(stem)) AS stem FROM s GROUP BY word) x GROUP BY stem"""
+
+
+@query(_STEM.format(words=f"SELECT strip_accents(word) AS word, sum(n) AS n, count(*) AS k FROM ({_SQL['token_counts']}) t GROUP BY 1").replace("count(*) AS words FROM (SELECT word, arg_min(n, length(stem)) AS n,", "sum(k) AS words FROM (SELECT word, any_value(k) AS k, arg_min(n, length(stem)) AS n,").replace("s(word, n, stem) AS (SELECT word, n, word FROM w UNION ALL SELECT word, n, CASE", "s(word, n, k, stem) AS (SELECT word, n, k, word FROM w UNION ALL SELECT word, n, k, CASE"))
 def stemmed_words(spark, d):
     """Words by stem: distinct words are stemmed, not all."""
     w = token_counts(spark, d)
@@ -180,7 +184,7 @@ SELECT source, count(*) AS n FROM (SELECT DISTINCT source, target FROM a WHERE s
 def graph_case_aliases(spark, d):
     """Edges fanned out to the rows of the target's judgment (statutes cited back), counted per source."""
     e = fx.edges(spark, d).select(col("target").alias("source"), col("source").alias("target"))
-    return G.case_alias_edges(e, _nodes(spark, d)).groupBy("source").agg(F.count("*").alias("n"))
+    return G.case_alias_counts(e, _nodes(spark, d))
 
 
 @query(

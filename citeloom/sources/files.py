@@ -52,9 +52,10 @@ def graph_of(rows: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
 
     refs = rows.select(F.col("citation").alias("source"), F.explode(P.all_references("text")).alias("r")).select("source", F.col("r.citation").alias("target"))
     edges = distinct_edges(refs)
-    own = rows.select("citation", F.lit(1).alias("origin_mask"), "row_no")
-    said = edges.select(F.col("target").alias("citation"), F.lit(2).alias("origin_mask"), F.lit(None).cast("long").alias("row_no"))
-    return merge_nodes(own.unionByName(said), ["citation"], "row_no").withColumn("dataset", F.lit(dataset)), edges
+    own = rows.select("citation", F.lit(1).alias("origin_mask"), "row_no", F.col("row_no").alias("seq"))
+    none = F.lit(None).cast("long")
+    said = edges.select(F.col("target").alias("citation"), F.lit(2).alias("origin_mask"), none.alias("row_no"), none.alias("seq"))
+    return merge_nodes(own.unionByName(said), ["citation"], "seq").withColumn("dataset", F.lit(dataset)), edges
 
 
 def classified(nodes: DataFrame) -> DataFrame:
