@@ -171,3 +171,97 @@ def anchors(c: Column) -> Column:
 
 def origin(bit: int, mask: Column) -> Column:
     return mask.bitwiseAND(F.lit(bit)) != 0
+
+
+# --- titles, lists of references, anchors of a row
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def title_parts(c: Column) -> Column:
+    """The parts of a law's title between ` - `; the first is its heading."""
+    return F.transform(F.split(c, r"\s+-\s+"), lambda x: F.trim(x))
+
+
+def heading(c: Column) -> Column:
+    return F.try_element_at(title_parts(c), F.lit(1))
+
+
+def enactment_date(c: Column) -> Column:
+    """The first German worded date of a title as yyyy-mm-dd, null without one."""
+    from .grammar import MONTHS
+
+    p = r"(\d{1,2})\.\s*([A-Za-zä]+)\s+(\d{4})"
+    months = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for x in (names[0], f"{k:02d}")])
+    month = months[F.lower(fold(pick(c, p, 2)))]
+    return F.when(month.isNotNull(), F.concat_ws("-", pick(c, p, 3), month, F.lpad(pick(c, p, 1), 2, "0")))
+
+
+def title_aliases(title: Column, code: Column, most: int = 12) -> Column:
+    """Abbreviations in the parentheses of a title, and its code first, each once."""
+    inner = F.flatten(F.transform(F.regexp_extract_all(title, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.split(x, r"\s*[,;]\s*")))
+    short = F.filter(inner, lambda x: x.rlike(r"^[A-Z][A-Za-z0-9./-]{1,15}$") & x.rlike(r"[A-Z].*[A-Z]"))
+    return F.slice(F.array_distinct(F.array_compact(F.concat(F.array(code), short))), 1, most)
+
+
+def is_case(c: Column) -> Column:
+    return c.rlike(rf"^(?:BGE|ATF|DTF)\s+\d|^(?:{MODERN}|{LEGACY})")
+
+
+def split_references(refs: Column) -> Column:
+    """struct(laws, cases): what is no case counts as a law."""
+    return F.struct(F.filter(refs, lambda x: ~is_case(x)).alias("laws"), F.filter(refs, is_case).alias("cases"))
+
+
+def references_by_family(refs: Column, most: int = 80) -> Column:
+    """struct(statute, court, official, other): each at most so many, in order."""
+    of = lambda f: F.slice(F.array_distinct(F.filter(refs, lambda x: reference_family(x) == f)), 1, most).alias(f)
+    return F.struct(of("statute"), of("court"), of("official"), of("other"))
+
+
+def row_order(citation: Column, row_no: Column) -> Column:
+    """struct to sort corpus rows by: law code, article in natural order, its units, the row."""
+    return F.struct(pick(citation, r"(\S+)$").alias("code"), natural_key(pick(citation, r"(?:Art\.|§)\s+(\S+)")).alias("article"), F.regexp_replace(citation, r"^\S+\s+\S+\s*", "").alias("rest"), row_no.alias("row"))
+
+
+def norm_token(c: Column, lower: bool = True) -> Column:
+    out = squash(F.coalesce(c, F.lit("")))
+    return F.lower(out) if lower else out
+
+
+def row_anchors(anchors: Column, default_code: Column | None = None) -> Column:
+    """The statute anchors of a row as `N CODE`: those without a code take the first code of the row, else the default; what has none is left out."""
+
+    def canonical(x: Column, code: Column) -> Column:
+        n = pick(x, r"(?i)^(?:art\.?|artikel)?\s*(\d+[a-z]*)")
+        own = pick(x, r"\s([A-Z][A-Za-z]*[A-Z][A-Za-z]*)\s*$")
+        return F.concat_ws(" ", n, F.coalesce(own, code))
+
+    codes = F.filter(F.transform(anchors, lambda x: pick(x, r"\s([A-Z][A-Za-z]*[A-Z][A-Za-z]*)\s*$")), lambda x: x.isNotNull())
+    first = F.coalesce(F.get(codes, F.lit(0)), default_code if default_code is not None else F.lit(None).cast("string"))
+    full = _once(F.struct(anchors.alias("a"), first.alias("f")), lambda s: F.transform(s["a"], lambda x: canonical(x, s["f"])))
+    return F.array_distinct(F.filter(full, lambda x: x.rlike(r"^\d+[a-z]* \S")))
+
+
+def match_terms(c: Column) -> Column:
+    """The words of a query for a full-text match: two letters or more, no operators, quoted and joined by OR."""
+    words = F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & ~F.upper(w).isin("AND", "OR", "NOT", "NEAR"))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
+
+
+def loose_consideration(c: Column, most: int = 90) -> Column:
+    """struct(clean, raw) of what follows the first consideration word; raw is empty if nothing does, null without the word."""
+    head = F.substring(c, 1, most)
+    p = r"\b(?:consid\.|cons\.|E\.|c\.)\s*([^\s,;)]*)"
+    raw = F.when(head.rlike(p), F.regexp_extract(head, p, 1))
+    return F.struct(F.nullif(F.regexp_replace(strip_edges(raw), r"[^A-Za-z0-9]+$", ""), F.lit("")).alias("clean"), raw.alias("raw"))
+
+
+def mention_class(c: Column, known: tuple[str, ...] = KNOWN_CODES) -> Column:
+    """How firmly a text names law: HARD with a known code, HARD_UNKNOWN_CODE, SECTION, SOFT (an article or case without one), NONE."""
+    codes = F.regexp_extract_all(c, F.lit(r"\bArt\.\s*\d+[a-z]*(?:\s+(?:Abs|lit|Bst|Ziff|Satz)\.?\s*\w+)*\s+([A-Z][A-Za-z]*[A-Z][A-Za-z]*)"), F.lit(1))
+    out = F.when(F.size(F.array_intersect(codes, F.array(*map(F.lit, known)))) > 0, "HARD").when(F.size(codes) > 0, "HARD_UNKNOWN_CODE")
+    return out.when(c.rlike(r"§\s*\d"), "SECTION").when(c.rlike(rf"\bArt\.\s*\d|\b(?:BGE|ATF|DTF)\s+\d{{3}}\b|{MODERN}"), "SOFT").otherwise("NONE")

@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import lattice as L
 from ..operators import lexical as X
 from ..operators import vector as V
+from ..sources.tables import settled
 from ..streaming import events as S
 from . import fixtures as fx
 from . import channels, enrichment, forms, knowledge, selection  # noqa: F401
@@ -243,7 +244,7 @@ s AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.query_id = w.que
 )
 def graph_two_hops(spark, d):
     """Court rows two steps from the seeds."""
-    e = fx.edges(spark, d)
+    e = settled(fx.edges(spark, d), "edges")
     both = e.union(e.select("target", "source"))
     return _out(G.two_hops(_seeds(spark, d), both, 50))
 

@@ -100,3 +100,65 @@ def law_code_kinds(spark, d):
     codes = F.array(*map(F.lit, _CODES))
     x = fx.table(spark, d, "lineitem").select(F.get(codes, (col("l_partkey") % len(_CODES)).cast("int")).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     return x.select("code", C.law_code_kind(col("code")).alias("kind"), "n")
+
+
+#: Titles of laws: (title, heading, date, aliases with the code first).
+TITLES = [
+    ("concat('Gesetz über Sache ', n, ' (SachG, XyZ; alt) vom ', p, '. März 19', n + 10 - n % 10)", "concat('Gesetz über Sache ', n, ' (SachG, XyZ; alt) vom ', p, '. März 19', n + 10 - n % 10)", "NULL", "concat(c, ';SachG;XyZ')"),
+    ("concat('Verordnung ', n, ' - Abschnitt vom ', p, '. Dezember 2001 (AbC)')", "concat('Verordnung ', n)", "concat('2001-12-0', p)", "concat(c, ';AbC')"),
+    ("concat('Erlass vom 1', p, '.Januar 1999 - (klein) - Schluss')", "concat('Erlass vom 1', p, '.Januar 1999')", "concat('1999-01-1', p)", "c"),
+    ("'Ohne Datum'", "'Ohne Datum'", "NULL", "c"),
+]
+
+
+@query(f"SELECT CAST(f AS INT) AS f, n, p, c, {_table(TITLES, 1)} AS heading, CASE WHEN f = 0 AND n < 90 THEN concat('19', n + 10 - n % 10, '-03-0', p) ELSE {_table(TITLES, 2)} END AS enacted, {_table(TITLES, 3)} AS aliases FROM ({_NUMBERED.format(len(TITLES))}) x WHERE n < 90 OR f <> 0")
+def law_titles(spark, d):
+    """Headings, dates and abbreviations out of titles of laws."""
+    t = _texts(spark, d, TITLES).where("n < 90 OR f <> 0")
+    return t.select("f", "n", "p", "c", C.heading(col("text")).alias("heading"), C.enactment_date(col("text")).alias("enacted"), F.array_join(C.title_aliases(col("text"), col("c")), ";").alias("aliases"))
+
+
+#: Texts that name law: (text, class, terms to match, clean consideration, raw one).
+NAMED = [
+    ("concat('nach Art. ', n, ' Abs. ', p, ' StPO or so')", "'HARD'", "concat('\"nach\" OR \"Art\" OR \"', n, '\" OR \"Abs\" OR \"StPO\" OR \"so\"')", "NULL", "NULL"),
+    ("concat('Art. ', n, ' XyZ, E. ', p, '.1.')", "'HARD_UNKNOWN_CODE'", "concat('\"Art\" OR \"', n, '\" OR \"XyZ\"')", "concat(p, '.1')", "concat(p, '.1.')"),
+    ("concat('§ ', n, ' und consid. ', p)", "'SECTION'", "concat('\"', n, '\" OR \"und\" OR \"consid\"')", "concat(p, '')", "concat(p, '')"),
+    ("concat('BGE 1', n, ' cons.')", "'NONE'", "concat('\"BGE\" OR \"1', n, '\" OR \"cons\"')", "NULL", "''"),
+    ("concat('gemäss Art. ', n, ' gilt')", "'SOFT'", "concat('\"gemäss\" OR \"Art\" OR \"', n, '\" OR \"gilt\"')", "NULL", "NULL"),
+]
+
+
+@query(
+    f"SELECT CAST(f AS INT) AS f, n, p, CASE WHEN f = 3 AND n < 100 THEN 'SOFT' ELSE {_table(NAMED, 1)} END AS class, {_table(NAMED, 2)} AS terms, {_table(NAMED, 3)} AS clean, {_table(NAMED, 4)} AS raw FROM (SELECT DISTINCT f, n, p FROM ({_NUMBERED.format(len(NAMED))}) y) x"
+)
+def named_law(spark, d):
+    """How firmly texts name law, their terms for a match, and considerations read loosely."""
+    t = _texts(spark, d, NAMED).select("f", "n", "p", "text").distinct()
+    loose = C.loose_consideration(col("text"))
+    return t.select("f", "n", "p", C.mention_class(col("text")).alias("class"), C.match_terms(col("text")).alias("terms"), loose["clean"].alias("clean"), loose["raw"].alias("raw"))
+
+
+@query(
+    f"""SELECT l_orderkey, count(DISTINCT {fx.STATUTE}) AS laws, count(DISTINCT {fx.COURT}) AS cases, count(DISTINCT {fx.STATUTE}) AS statute, count(DISTINCT {fx.COURT}) AS court, 1 AS official, 1 AS other, array_to_string(list_sort(list_distinct(list(concat(l_partkey % 400 + 1, ' ', {fx.case('l_suppkey % 5', fx.CODES)})))), ';') AS anchors FROM lineitem GROUP BY 1"""
+)
+def reference_lists(spark, d):
+    """Lists of references split into laws and cases and by family, and a row's anchors in canonical form."""
+    x = fx.lines(spark, d).groupBy("l_orderkey").agg(F.collect_set("statute").alias("s"), F.collect_set("court").alias("k"))
+    x = x.withColumn("refs", F.concat("s", "k")).withColumn("all", F.concat("refs", F.array(F.lit("SR 101"), F.lit("Anhang 1"))))
+    fam, two = C.references_by_family(col("all")), C.split_references(col("refs"))
+    n = [F.size(fam[f]).cast("long").alias(f) for f in ("statute", "court")] + [F.size(fam[f]).alias(f) for f in ("official", "other")]
+    return x.select("l_orderkey", F.size(two["laws"]).cast("long").alias("laws"), F.size(two["cases"]).cast("long").alias("cases"), *n, F.array_join(F.array_sort(C.row_anchors(col("s"))), ";").alias("anchors"))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT {fx.STATUTE} AS citation, concat('Art. ', l_partkey % 400 + 1, ' ', {fx.case('l_suppkey % 5', fx.CODES)}) AS article FROM lineitem), m AS (SELECT DISTINCT l_suppkey AS query_id, CASE l_linenumber WHEN 1 THEN {fx.STATUTE} WHEN 2 THEN upper({fx.STATUTE}) WHEN 3 THEN concat('Art. ', l_partkey % 400 + 1, ' ', {fx.case('l_suppkey % 5', fx.CODES)}) ELSE concat('Art. ', l_partkey, ' Abs. 9 Xy') END AS citation, l_linenumber AS k FROM lineitem WHERE l_quantity >= 45)
+SELECT DISTINCT query_id, m.citation, CASE k WHEN 1 THEN m.citation WHEN 2 THEN n.known WHEN 3 THEN a.citation END AS found, CASE WHEN k = 1 THEN 'exact' WHEN k = 2 THEN 'spelling' WHEN k = 3 THEN 'paragraphs' ELSE 'none' END AS how FROM m LEFT JOIN (SELECT lower(citation) AS l, min(citation) AS known FROM c GROUP BY 1) n ON k = 2 AND l = lower(m.citation) LEFT JOIN c a ON k = 3 AND a.article = m.citation"""
+)
+def verified_citations(spark, d):
+    """Mentions as the corpus has them: exactly, in its spelling, by paragraphs, not at all."""
+    from ..operators import granularity as R
+
+    x = fx.table(spark, d, "lineitem")
+    art = f"concat('Art. ', l_partkey % 400 + 1, ' ', {fx.case('l_suppkey % 5', fx.CODES)})"
+    m = x.where("l_quantity >= 45").selectExpr("l_suppkey AS query_id", f"CASE l_linenumber WHEN 1 THEN {fx.STATUTE} WHEN 2 THEN upper({fx.STATUTE}) WHEN 3 THEN {art} ELSE concat('Art. ', l_partkey, ' Abs. 9 Xy') END AS citation")
+    return R.verified(m, x.selectExpr(f"{fx.STATUTE} AS citation"))
