@@ -293,3 +293,24 @@ def decisions(queries: DataFrame, registry: DataFrame, least: int = 1) -> DataFr
     named = ref.select("query_id", F.col("r.family").alias("family"), part).select("query_id", "family", "p.segment", "p.value").where("value IS NOT NULL").distinct()
     known = named.join(registry, ["family", "segment", "value"])
     return known.select("query_id", "family", "segment", F.when(F.col("source_count") >= least, "include").otherwise("maybe").alias("mode"), "value")
+
+
+def procedural(areas: DataFrame, rows: DataFrame, codes: dict[str, tuple[str, ...]], pattern: str, k: int, default: tuple[str, ...] = ("BGG",)) -> DataFrame:
+    """Rows of the procedural codes of a query's areas whose heading speaks of procedure, by authority. areas: query_id, area; rows: doc_id, law_code, heading, authority."""
+    pick = F.coalesce(F.create_map(*[x for a, c in codes.items() for x in (F.lit(a), F.array(*map(F.lit, c)))])[F.col("area")], F.array(*map(F.lit, default)))
+    wanted = areas.select("query_id", F.explode(pick).alias("law_code")).distinct()
+    hit = wanted.join(rows.where(F.col("heading").rlike(pattern)), "law_code").select("query_id", "doc_id", F.col("authority").cast("double").alias("score"))
+    return top(hit, k)
+
+
+def features(cands: DataFrame, asked: DataFrame, index: DataFrame, about: DataFrame) -> DataFrame:
+    """A row a candidate for a learnt ranker: matched keys, their share of what was asked and of the document's, their rarity, rank, authority.
+
+    cands: query_id, doc_id, rk; asked: query_id, key; index: key, doc_id; about: doc_id, authority.
+    """
+    a, i = asked.select("query_id", "key").distinct(), index.select("key", "doc_id").distinct()
+    n_asked, n_doc, df = a.groupBy("query_id").agg(F.count("*").alias("n_asked")), i.groupBy("doc_id").agg(F.count("*").alias("n_doc")), i.groupBy("key").agg(F.count("*").alias("df"))
+    hit = cands.select("query_id", "doc_id").join(i, "doc_id").join(a, ["query_id", "key"]).join(df, "key").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.sum(1 / F.log(2 + F.col("df"))).alias("rarity"))
+    j = cands.join(hit, ["query_id", "doc_id"], "left").join(n_asked, "query_id", "left").join(n_doc, "doc_id", "left").join(about.select("doc_id", "authority"), "doc_id", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return j.select("query_id", "doc_id", z("matched").alias("matched"), (z("matched") / F.greatest(z("n_asked"), F.lit(1))).alias("of_asked"), (z("matched") / F.greatest(z("n_doc"), F.lit(1))).alias("of_doc"), z("rarity").alias("rarity"), (1 / F.col("rk")).alias("reciprocal"), F.coalesce("authority", F.lit(0.0)).alias("authority"))

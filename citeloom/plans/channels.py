@@ -256,3 +256,26 @@ def term_channel(spark, d):
     q = fx.table(spark, d, "benchmark").select(col("item_id").alias("query_id"), words("text").alias("term"))
     c = fx.table(spark, d, "documents").select("doc_id", words("text").alias("term"))
     return _out(H.terms(q, c, lambda t: F.concat(F.lit("="), t), 20))
+
+
+@query(
+    f"""WITH {_IDX}, {_ASK}, {_AUTH}, c AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS INT) AS rk FROM ask JOIN idx USING (key) GROUP BY 1, 2), k AS (SELECT * FROM c WHERE rk <= 30), na AS (SELECT query_id, count(*) AS n FROM ask GROUP BY 1), nd AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT key, doc_id FROM idx) x GROUP BY 1), df AS (SELECT key, count(*) AS df FROM (SELECT DISTINCT key, doc_id FROM idx) x GROUP BY 1),
+h AS (SELECT query_id, doc_id, count(*) AS matched, sum(1 / ln(2 + df)) AS rarity FROM k JOIN idx USING (doc_id) JOIN ask USING (query_id, key) JOIN df USING (key) GROUP BY 1, 2)
+SELECT k.query_id, k.doc_id, matched, round(matched / na.n, 6) AS of_asked, round(matched / nd.n, 6) AS of_doc, round(rarity, 6) AS rarity, round(1 / rk, 6) AS reciprocal, authority FROM k JOIN h USING (query_id, doc_id) JOIN na USING (query_id) JOIN nd USING (doc_id) JOIN auth USING (doc_id)"""
+)
+def ranker_features(spark, d):
+    """Features of candidates for a learnt ranker."""
+    a, i = _asked(spark, d), _index(spark, d).select("key", "doc_id")
+    f = H.features(H.matched(a, i, 30), a, i, _about(spark, d))
+    return f.select("query_id", "doc_id", "matched", *[F.round(c, 6).alias(c) for c in ("of_asked", "of_doc", "rarity", "reciprocal")], "authority")
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT l_suppkey AS query_id, l_returnflag AS area FROM lineitem WHERE l_quantity >= 50), w AS (SELECT DISTINCT query_id, CASE area WHEN 'A' THEN 'StPO' ELSE 'BGG' END AS law_code FROM q UNION SELECT DISTINCT query_id, 'OR' FROM q WHERE area = 'A'),
+r AS (SELECT p_partkey AS doc_id, {fx.case('p_partkey % 5', fx.CODES)} AS law_code, p_type AS heading, p_size AS authority FROM part), s AS (SELECT query_id, doc_id, CAST(authority AS DOUBLE) AS score FROM w JOIN r USING (law_code) WHERE regexp_matches(heading, '(?i)steel|brass')) {_TOP.format(k=15)}"""
+)
+def procedural_channel(spark, d):
+    """Headings that speak of procedure, in the codes of a query's areas."""
+    areas = fx.table(spark, d, "lineitem").where("l_quantity >= 50").selectExpr("l_suppkey AS query_id", "l_returnflag AS area")
+    rows = fx.table(spark, d, "part").selectExpr("p_partkey AS doc_id", f"{fx.case('p_partkey % 5', fx.CODES)} AS law_code", "p_type AS heading", "p_size AS authority")
+    return _out(H.procedural(areas, rows, {"A": ("StPO", "OR")}, "(?i)steel|brass", 15))

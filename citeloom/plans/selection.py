@@ -278,3 +278,27 @@ def articles_per_code(spark, d):
 def smallest_size(spark, d):
     """The smallest cut with a mean recall of a half."""
     return E.smallest_k(_fused(spark, d), fx.gold(spark, d), [50, 100, 200, 500, 1000, 2000], 0.5)
+
+
+_DOC_CODE = fx.case("p_partkey % 5", fx.CODES)
+
+
+@query(
+    f"""WITH c AS ({fx.CHANNELS_SQL}), b AS (SELECT query_id, channel, doc_id, min(rk) AS rk FROM c WHERE channel <> 'R' GROUP BY 1, 2, 3), s AS (SELECT query_id, doc_id, sum(CASE channel WHEN 'A' THEN 1.0 ELSE 0.5 END / (60 + rk)) * (1 + 0.2 * any_value(p_size) / 50.0) AS score FROM b JOIN part ON p_partkey = doc_id GROUP BY 1, 2),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM s) x WHERE rk <= 60), h AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS u FROM f WHERE rk <= 20 WINDOW w AS (PARTITION BY query_id)),
+m AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * u + 0.3 * CASE WHEN p_size > 25 THEN p_size / 50.0 ELSE 0 END, 6) DESC, doc_id) AS rk FROM h JOIN part ON p_partkey = doc_id UNION ALL SELECT query_id, doc_id, rk FROM f WHERE rk > 20),
+j AS (SELECT query_id, rk, concat('Art. ', p_partkey % 400 + 1, ' ', {_DOC_CODE}) AS citation FROM m JOIN part ON p_partkey = doc_id WHERE p_brand >= 'Brand#2'), k AS (SELECT DISTINCT concat('Art. ', l_partkey % 400 + 1, ' ', {_CODE}) AS article, {fx.STATUTE} AS child FROM lineitem),
+e AS (SELECT query_id, coalesce(child, citation) AS citation, min(rk) AS pos FROM j LEFT JOIN k ON article = citation GROUP BY 1, 2) SELECT query_id, citation, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos, citation) AS INT) AS rk FROM e"""
+)
+def full_retrieval(spark, d):
+    """Channels, weighted fusion with authority, model scores, verdicts and granularity in one call."""
+    from ..operators.pipeline import retrieve
+
+    part = fx.table(spark, d, "part").withColumn("doc_id", col("p_partkey"))
+    queries = fx.table(spark, d, "supplier").select(col("s_suppkey").alias("query_id"))
+    named = part.selectExpr("doc_id", f"concat('Art. ', p_partkey % 400 + 1, ' ', {_DOC_CODE}) AS citation")
+    pairs = fx.channels(spark, d).select("query_id", "doc_id").distinct().join(part, "doc_id").join(queries, "query_id", "left_semi")
+    scores = pairs.where("p_size > 25").select("query_id", "doc_id", (col("p_size") / 50).alias("p"))
+    verdicts = pairs.select("query_id", "doc_id", F.when(col("p_brand") >= "Brand#2", "YES").otherwise("NO").alias("verdict"))
+    about = part.select("doc_id", (col("p_size") / 50).alias("authority"))
+    return retrieve(fx.channels(spark, d), named, fx.lines(spark, d).select(col("statute").alias("citation")), {"A": 1.0, "N": 0.5, "R": 0.0}, about, 0.2, scores, verdicts, 60, 20)
