@@ -69,6 +69,7 @@ _TOKEN = re.compile(rf"(?P<docket>\b(?:{DOCKET})\b)|(?P<num>\d+(?:\.\d+)*[a-z]*)
 _SHORT = {*UNIT_WORDS, "art", "e", "erw", "consid", "cons", "c", "s", "vgl", "cf"}
 _VALUE = {"letter": re.compile(r"[a-z]\.?", re.I)}
 _NUMBER = re.compile(r"\d+(?:bis|ter|quater|quinquies|sexies|septies|octies|novies|decies|[a-z])?", re.I)
+# How many characters behind its head the parts of a reference may lie.
 WINDOW, SECTION_WINDOW, DOCKET_WINDOW = 260, 120, 90
 
 
