@@ -29,6 +29,8 @@ ALPHA, BETA, L2 = 0.3, 1.0, 1e-4
 #: L1 penalties to choose from, and the loss that the choice may cost.
 PENALTIES, TOLERANCE = (0.01, 0.03, 0.1, 0.3), 0.02
 _MARK = np.uint64(32)
+#: Bytes of text handled at once: each makes three n-grams of some hundred bytes of arrays.
+BLOCK = 1 << 19
 
 
 def _code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,7 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     df = np.zeros(FEATURES, np.int64)
     last = np.full(FEATURES, -1, np.int64)
     docs = 0
-    for _, data, offs in blocks(batches, "text"):
+    for _, data, offs in blocks(batches, "text", BLOCK):
         cp, at = _code_points(data, offs)
         for f, begin in _grams(cp, at):
             for d in range(len(offs) - 1):
@@ -175,7 +177,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of sampled texts: at most FEATURES of them, whatever a text's length."""
-    for batch, data, offs in blocks(batches, "text"):
+    for batch, data, offs in blocks(batches, "text", BLOCK):
         found = _vector(data, offs)
         cols = [batch.column("o"), batch.column("lang"), pa.array([f.astype(np.int32).tobytes() for f, _ in found], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in found], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["o", "lang", "f", "w"])
@@ -202,7 +204,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
 
 def _predictor(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "text"):
+        for batch, data, offs in blocks(batches, "text", BLOCK):
             if model is None:
                 lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:
@@ -233,7 +235,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def _keeper(model: Model | None, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "text"):
+        for batch, data, offs in blocks(batches, "text", BLOCK):
             if model is not None:
                 best, score = model.predict(data, offs)
                 yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
