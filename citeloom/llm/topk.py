@@ -113,14 +113,18 @@ def integer_vectors(df: DataFrame, scale: float, id_col: str, vec_col: str) -> D
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest scores of each query (ids divisible by `every`)."""
+    """query_id, rank, vec_id, score: the k highest scores of each query (ids divisible by `every`).
+
+    Rows that share an id are one query, by the least of their vectors, and candidates each. Vectors of another length than
+    most have take no part. Other columns are ignored; an empty table gives no rows.
+    """
     spark = df.sparkSession
     vecs = materialize(integer_vectors(df, scale, id_col, vec_col), "vectors")
     dims = vecs.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     blocks: list[DataFrame] = []
     if dims and dims[0]["d"] > 0:
         vecs = vecs.where(F.size("v") == dims[0]["d"])
-        queries = vecs.where(F.col("id") % every == 0).dropDuplicates(["id"])
+        queries = vecs.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
         last = None
         while True:  # blocks in id order; one block at a time is held here
             part = queries if last is None else queries.where(F.col("id") > last)

@@ -129,6 +129,9 @@ def test_top_k(spark):
         want = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
         assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    twice = [(20, [1.0, 0.0], 1), (20, [0.0, 1.0], 2), (3, [1.0, 0.0], 3), (3, [0.0, 2.0], 4), (4, [0.0, 1.0], 5)]
+    rows = topk.top_k(spark.createDataFrame(twice, "vec_id long, embedding array<float>, id int"), 5).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in rows] == [(20, 3, 8192), (20, 4, 4096), (20, 3, 0)]
 
 
 def removed_strings(rows):
