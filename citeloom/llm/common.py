@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a single longer text is handled alone.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a batch of rows sent to Python where Spark's own default, 64 MB, would hold.
+BATCH_BYTES, _SPARKS = 4 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_BYTES or so: the buffers of one batch stand in the executor beside its heap, and again in
+    the worker. A size that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1b") in (f"{_SPARKS}b", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -36,12 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, mix, prefix_hashes, shared_dir, span_hash
+from .common import blocks, materialize, mix, prefix_hashes, shared_dir, small_batches, span_hash
 
 #: Bytes of a row of documents; bytes hashed at once; bytes of text a bucket of pieces answers for; starts sorted at once.
 ROW_BYTES, CHUNK, BUCKET_BYTES, SLICE = 1 << 20, 1 << 20, 8 << 20, 1 << 19
 #: Rows that may bear a piece in its bucket; answers that may be broadcast; corpus from which on rows are written in buckets.
-HOT, BROADCAST_BYTES, BUCKETED_BYTES = 20_000, 32 << 20, 2 << 30
+HOT, BROADCAST_BYTES, BUCKETED_BYTES = 20_000, 40 << 20, 2 << 30
+#: Text of a bucket of rows, which one task reads; of a Parquet row group there, which its reader holds at once; most such buckets.
+PART_BYTES, GROUP_BYTES, MOST_PARTS = 32 << 20, 8 << 20, 50_000
 #: Width of the trigger, mean length of a phrase, width of a piece.
 TRIGGER, PHRASE, PIECE = 16, 192, 28
 _MOST = (1 << 63) - 1
@@ -138,7 +140,8 @@ class Row:
         key, place, begin = map(np.concatenate, (keys, places, begins))
         head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + 1)))
         tail = np.append(head[1:], len(begin)) - 1
-        return key[head], np.searchsorted(self.offs, begin[head], side="right") - 1, begin[head], begin[tail]
+        # Least hashes crowd near 0; mixed (one to one), they fall evenly into buckets.
+        return mix(key[head]), np.searchsorted(self.offs, begin[head], side="right") - 1, begin[head], begin[tail]
 
 
 def _each(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[Row, pa.RecordBatch, int]]:
@@ -401,9 +404,9 @@ def _corpus(docs: DataFrame, bucketed_from: int) -> tuple[DataFrame, int]:
     total = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     if total < bucketed_from:
         return rows, total
-    spark, parts, name = docs.sparkSession, int(max(8, total >> 27)), f"rows_{uuid.uuid4().hex}"
+    spark, parts, name = docs.sparkSession, int(min(MOST_PARTS, max(8, total // PART_BYTES))), f"rows_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{name}"
-    rows.repartition(parts, "row").write.option("compression", "zstd").option("path", path).bucketBy(parts, "row").sortBy("row").saveAsTable(name)
+    rows.repartition(parts, "row").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("path", path).bucketBy(parts, "row").sortBy("row").saveAsTable(name)
     return spark.table(name), total
 
 
@@ -415,6 +418,7 @@ def _with(rows: DataFrame, answers: DataFrame, size: int, bucketed: bool) -> Dat
 
 def dedup_substrings(docs: DataFrame, span: int = 50, hot_rows: int = HOT, bucketed_from: int = BUCKETED_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    small_batches(docs.sparkSession)
     rows, total = _corpus(docs, bucketed_from)
     bucketed = total >= bucketed_from
     count = rows.count()

@@ -167,6 +167,16 @@ def test_substrings(spark, docs, texts):
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_substring_pieces_spread():
+    """Buckets get like numbers of pieces: the first of 64 held a third of them when least hashes dealt them."""
+    data = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    offs = np.array([0, len(data)])
+    ints = pa.list_(pa.int32())
+    row = pa.record_batch({"row": pa.array([0]), "ids": pa.array([[1]]), "offs": pa.array([offs], ints), "starts": pa.array([substrings._phrases(data, offs)], ints), "data": pa.array([data.tobytes()])})
+    n = np.bincount(substrings._bucket(substrings.Row(row, 0, 50).pieces()[0], 64), minlength=64)
+    assert n.sum() > 10_000 and n.max() < 2 * n.mean()
+
+
 @pytest.mark.parametrize("hot_rows, bucketed_from", [(substrings.HOT, 0), (1, 1 << 60), (0, 0)])
 def test_substrings_other_ways(spark, texts, hot_rows, bucketed_from):
     rng = random.Random(3)
