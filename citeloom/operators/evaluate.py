@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import steps as S
+
 
 def parse_gold(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
@@ -163,9 +165,9 @@ def gold_bank(gold: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFra
 
 def linked_gold(gold: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, source, target: edges between two gold citations of one query. gold: query_id, citation."""
-    g = gold.select("query_id", "citation").distinct()
-    a = g.join(edges, F.col("citation") == F.col("source")).select("query_id", "source", "target").distinct()
-    return a.join(g.select("query_id", F.col("citation").alias("target")), ["query_id", "target"], "left_semi").select("query_id", "source", "target")
+    g, coded = S.numbered(edges)
+    own, n = S.seeded(g.code(gold.select("query_id", "citation"), no="citation"))
+    return g.name(S.within(own, n, S.lists(coded)), source="a", target="b").select("query_id", "source", "target")
 
 
 def audit_stage(gold: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

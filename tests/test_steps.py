@@ -91,6 +91,15 @@ def test_reference_expansion(spark, small, net):
     assert sorted(tuple(r) for r in df.collect()) == sorted(said | {(q, c) for q, n in said for a, c in kids if a == n})
 
 
+def test_linked_gold(spark, small, net):
+    edges, seeds = net
+    gold = seeds + [(q, b) for (q, _), (_, b) in zip(seeds, edges, strict=False)]
+    df = evaluate.linked_gold(spark.createDataFrame(gold, "query_id long, citation string"), spark.createDataFrame(edges, "source string, target string"))
+    assert cogroups(df)
+    want = {(q, a, b) for a, b in edges for q in range(12) if (q, a) in gold and (q, b) in gold}
+    assert want and sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
 def test_counts_by_bits(spark, small, net, monkeypatch):
     """Both ways of counting agree."""
     edges, seeds = net
