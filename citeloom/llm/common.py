@@ -22,7 +22,7 @@ def small_batches(spark: SparkSession) -> None:
     """Rows go to Python in batches of BATCH_BYTES or so: the buffers of one batch stand in the executor beside its heap, and again in
     the worker. A size that the session was given stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "1b") in (f"{_SPARKS}b", "64m", "64MB"):
+    if spark.conf.get(key) in (f"{_SPARKS}b", "64m", "64MB"):
         spark.conf.set(key, str(BATCH_BYTES))
 
 

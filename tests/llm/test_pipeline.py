@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+common = pytest.importorskip("citeloom.llm.common")
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, whole string, key_id int, gone string, n_removed int, leads boolean"
 EN = "the of and to in is that it was for on are with as at be this have from or".split()
@@ -89,3 +90,16 @@ def test_run(spark):
     kept = {r["doc_id"] for r in pieces}
     assert not [i for i in kept if any(t in texts[i] for t in items)]
     assert docs.where(F.col("text").rlike(r"\p{L}")).count() - len(kept) < len(texts) / 2
+
+
+def test_small_batches(spark):
+    """A stage leaves no batches of 64 MB for Python; a size that the session names stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for given, want in ((None, common.BATCH_BYTES), ("123456b", 123456)):
+            spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+            corpus_pipeline.packed(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+            assert int(spark.conf.get(key).rstrip("b")) == want
+    finally:
+        spark.conf.set(key, old)
