@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, htmltext, langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
-from .common import table
+from .common import small_batches, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 

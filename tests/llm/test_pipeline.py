@@ -103,3 +103,18 @@ def test_small_batches(spark):
             assert int(spark.conf.get(key).rstrip("b")) == want
     finally:
         spark.conf.set(key, old)
+
+
+def test_packing_query_in_small_batches(spark, tmp_path):
+    """The op8 query packs as the pipeline's stage does: no batches of 64 MB for Python."""
+    from citeloom.llm import entry
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+        assert entry.op8_best_fit_packing(spark, str(tmp_path)).count() == 2
+        assert int(spark.conf.get(key).rstrip("b")) == common.BATCH_BYTES
+    finally:
+        spark.conf.set(key, old)
