@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words (as in the n-gram join) are hashed to FEATURES terms; their document frequencies come from all documents. A basis
-of RANK dimensions is the distributed randomised SVD of the TF-IDF matrix of passages: all benchmark items and a sample
-bounded by SAMPLE_DOCS documents, multiplied block-wise over the cluster. Every passage of every document, windows of 24
+of RANK dimensions is the distributed randomised SVD of the TF-IDF matrix A of passages: those of all benchmark items and of
+all documents, multiplied block-wise over the cluster. Subspace iteration over the items gives the directions O that the
+pass over the documents starts from; A'(AO) of that one pass is the basis, by Nystroem's approximation of A'A. Every passage of every document, windows of 24
 and of 48 words at every 12th word, is then projected, and items with a cosine of at least MIN_COSINE are candidates. A
 candidate is a leak if the longest common subsequence of the item and the text around the passage covers LEAK of the
 item's words, or PARAPHRASE of them together with ANSWER of its answer: the different words of its last sentence (its
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NONWORD, blocks, gapless_rank, materialize, prefix_hashes, span_hash, text_bytes, word_spans
 
-FEATURES, RANK, OVER, SAMPLE_DOCS, ITEMS = 1 << 15, 64, 16, 1000, 1024
+FEATURES, RANK, OVER, ITEMS = 1 << 15, 64, 16, 1024
 STEP, MIN_COSINE, LEAK, PARAPHRASE, ANSWER, SHORT = 12, 0.4, 0.8, 0.6, 0.75, 8
 #: A term's weight is ln(documents / its documents) less this (less half of ln(documents), where that is smaller): frequent words
 #: weigh nothing in the cosine, so a passage of such words alone has a cosine of 0.
 COMMON = 3.0
 #: Items with so large a share of frequent words get candidates for PARAPHRASE, not only for LEAK, without the cosine.
 FREQUENT = 2 / 3
-#: Tasks that multiply the sample; words projected at once; feature ranges that partial products are summed in.
-SAMPLE_PARTS, WORDS, RANGES = 3, 1 << 16, 32
+#: Words of a passage that the basis is made of; words projected at once; feature ranges that partial products are summed in.
+PASSAGE, WORDS, RANGES = 48, 1 << 16, 256
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,41 +57,62 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(FEATURES, np.int64), 0
     for batch, data, offs in blocks(batches, "text"):
         h, docs = _words(data, offs)
-        df += np.bincount(np.unique(docs * FEATURES + _terms(h)) % FEATURES, minlength=FEATURES)
+        begin, t = np.searchsorted(docs, np.arange(batch.num_rows + 1)), _terms(h)
+        for lo in range(0, batch.num_rows, 64):  # a row of flags for each document
+            hi = min(lo + 64, batch.num_rows)
+            has = np.zeros((hi - lo, FEATURES), bool)
+            has[docs[begin[lo] : begin[hi]] - lo, t[begin[lo] : begin[hi]]] = True
+            df += has.sum(0, dtype=np.uint8)
         n += batch.num_rows
     f = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1).astype(np.int32)), pa.array(np.append(df[f], n))], ["f", "n"])
 
 
-def _passages(h: np.ndarray, docs: np.ndarray, idf: np.ndarray, size: int = 48) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unit TF-IDF rows (terms, weights) of consecutive passages of `size` words."""
-    out = []
-    if not len(h):
-        return out
+def _passages(h: np.ndarray, docs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows of consecutive passages: (passage, term, weight) by passage; terms that weigh nothing are left out."""
     t = _terms(h)
-    first = np.searchsorted(docs, docs, side="left")
-    part = docs * (1 << 32) + (np.arange(len(h)) - first) // size
-    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
-        u, n = np.unique(t[a:b], return_counts=True)
-        w = n * idf[u]
-        out.append((u, w / max(1e-9, np.linalg.norm(w))))
-    return out
+    part = docs * (1 << 32) + (np.arange(len(h)) - np.searchsorted(docs, docs, side="left")) // PASSAGE
+    part = np.cumsum(np.append(True, part[1:] != part[:-1])) - 1 if len(h) else part
+    some = np.flatnonzero(idf[t] > 0)
+    key, n = np.unique(part[some] * FEATURES + t[some], return_counts=True)
+    part, t = key // FEATURES, key % FEATURES
+    w = n * idf[t]
+    return part, t, w / np.sqrt(np.bincount(part, w * w))[part] if len(w) else w
 
 
-def _product(q: np.ndarray, idf: np.ndarray, gram: bool):
-    """A'(Aq) over this task's passages, by ranges of features; or (Aq)'(Aq) if `gram`."""
+def _product(q: np.ndarray, idf: np.ndarray):
+    """A'(Aq) over this task's passages, by ranges of features."""
 
     def run(batches):
-        out = np.zeros((q.shape[1] if gram else FEATURES, q.shape[1]))
+        out = np.zeros((FEATURES, q.shape[1]))
         for _, data, offs in blocks(batches, "text"):
-            for u, w in _passages(*_words(data, offs), idf):
-                y = (w[:, None] * np.take(q, u, axis=0)).sum(0)
-                if gram:
-                    out += np.outer(y, y)
-                else:
-                    out[u] += w[:, None] * y[None, :]
-        parts = np.array_split(out, 1 if gram else RANGES)
+            part, t, w = _passages(*_words(data, offs), idf)
+            if not len(t):
+                continue
+            w = w.astype(np.float32)
+            new = np.append(True, part[1:] != part[:-1])
+            cut, row = np.flatnonzero(new), np.cumsum(new) - 1
+            most = int(np.diff(np.append(cut, len(t))).max())  # PASSAGE at most
+            at, weight = np.zeros((len(cut), most), np.int64), np.zeros((len(cut), 1, most), np.float32)
+            at[row, np.arange(len(t)) - cut[row]] = t
+            weight[row, 0, np.arange(len(t)) - cut[row]] = w
+            y = np.empty((len(cut), q.shape[1]), np.float32)
+            for k in range(0, len(cut), 256):
+                y[k : k + 256] = np.matmul(weight[k : k + 256], q.take(at[k : k + 256], 0))[:, 0]
+            by = np.argsort(t.astype(np.uint16), kind="stable")
+            cut = np.flatnonzero(np.append(True, t[by][1:] != t[by][:-1]))
+            size = np.diff(np.append(cut, len(t)))
+            order = np.argsort(-size, kind="stable")
+            cut, size = cut[order], size[order]
+            sums = np.zeros((len(cut), q.shape[1]), np.float32)
+            for j in range(min(8, int(size[0]))):  # the j-th passage of every term at once
+                x = by[cut[: np.searchsorted(-size, -j)] + j]
+                sums[: len(x)] += y.take(row[x], 0) * w[x][:, None]
+            for j in range(np.searchsorted(-size, -8)):  # the other passages of frequent terms
+                x = by[cut[j] + 8 : cut[j] + size[j]]
+                sums[j] += w[x] @ y.take(row[x], 0)
+            out[t[by[cut]]] += sums
+        parts = np.array_split(out, RANGES)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["part", "m"])
 
     return run
@@ -101,18 +123,24 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"part": t["part"].slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
 
 
-def _summed(sample: DataFrame, q: np.ndarray, idf: np.ndarray, gram: bool = False) -> np.ndarray:
-    parts = sample.mapInArrow(_product(q.astype(np.float32), idf, gram), "part int, m binary").groupBy("part").applyInArrow(_add, "part int, m binary").orderBy("part").collect()
-    return np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, q.shape[1]) for r in parts])
+def _summed(texts: DataFrame, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A'(Aq) over all texts."""
+    parts = texts.select("text").mapInArrow(_product(q.astype(np.float32), idf), "part int, m binary").groupBy("part").applyInArrow(_add, "part int, m binary").orderBy("part").collect()
+    return np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, q.shape[1]) for r in parts]).astype(np.float64) if parts else np.zeros(q.shape)
 
 
-def basis(sample: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2) -> np.ndarray:
-    """Right singular vectors [FEATURES, rank] of the sample's passages by randomised subspace iteration."""
-    q = np.random.default_rng(3).normal(size=(FEATURES, rank + OVER))
+def basis(texts: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2) -> np.ndarray:
+    """Leading right singular vectors [FEATURES, rank] of the passages of all texts and items."""
+    q = np.linalg.qr(np.random.default_rng(3).normal(size=(FEATURES, rank + OVER)))[0]
     for _ in range(rounds):
-        q = np.linalg.qr(_summed(sample, q, idf))[0]
-    values, vectors = np.linalg.eigh(_summed(sample, q, idf, True))
-    return q @ vectors[:, np.argsort(-values)[:rank]]
+        q = np.linalg.qr(_summed(items, q, idf) + 1e-3 * q)[0]
+    y = _summed(texts, q, idf) + _summed(items, q, idf)
+    shift = 1e-6 * max(1.0, float(np.linalg.norm(y)))
+    y += shift * q
+    core = q.T @ y
+    half = np.linalg.cholesky((core + core.T) / 2)
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(half, y.T).T, full_matrices=False)
+    return np.ascontiguousarray(vectors[:, np.argsort(-values)[:rank]])
 
 
 def places(a: list[int]) -> dict[int, int]:
@@ -228,30 +256,56 @@ def _search(items: Items, idf: np.ndarray, v: np.ndarray):
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         return cut, seg, ((pair, at[ends[2]]), (quad, at[ends[4]]))
 
-    def held(spot: np.ndarray, cut: np.ndarray, has: np.ndarray) -> np.ndarray:
-        """Running counts over the steps of the words that each item has."""
+    def around(spot: np.ndarray, cut: np.ndarray, bits: np.ndarray):
+        """Gives, for steps first..last and items, the places of the items whose words these steps hold, in whole bits."""
+        n = len(items.ids)
         size = np.append(cut[1:], len(spot)) - cut
-        n = np.zeros((len(cut) + 1, has.shape[1]), np.uint8)  # a step has STEP words at most
+        words = np.full((STEP, len(cut)), len(bits) - 1)
         for j in range(STEP):
             w = np.flatnonzero(size > j)
-            n[w + 1] += has[spot[cut[w] + j]]
-        return np.cumsum(n, axis=0, dtype=np.int32)
+            words[j, w] = spot[cut[w] + j]
+        words *= n
+        known, places = np.zeros(len(cut) * n, bool), np.zeros(len(cut) * n, np.uint64)
+
+        def of(first: np.ndarray, last: np.ndarray, item: np.ndarray) -> np.ndarray:
+            need, most = np.zeros(len(known), bool), int((last - first).max(initial=0)) + 1
+            at = [np.minimum(first + k, last) * n + item for k in range(most)]
+            for x in at:
+                need[x] = True
+            cells = np.flatnonzero(need > known)
+            known[cells] = True
+            step, one = np.divmod(cells, n)
+            got = np.zeros(len(cells), np.uint64)
+            for w in words:
+                got |= bits.ravel().take(w.take(step) + one)
+            places[cells] = got
+            out = np.zeros(len(item), np.uint64)
+            for x in at:
+                out |= places.take(x)
+            return np.bitwise_count(out).astype(np.int64)
+
+        return of
 
     def exact(spot: np.ndarray, seg: np.ndarray, steps: int, rare: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """The longer windows by items: whether the steps around hold enough of the item's rarest words."""
+        """The longer windows (step * items + item, also more than once) of which the steps around hold enough of the item's rarest words."""
         start, size, of = rare
-        at = np.flatnonzero(size[spot])
+        at = np.flatnonzero(spot < len(size) - 1)
+        at = at[size[spot[at]] > 0]
         k = size[spot[at]]
         item = of[np.repeat(start[spot[at]] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-        n = np.bincount((np.repeat(seg[at], k) + 1) * len(items.ids) + item, minlength=(steps + 1) * len(items.ids))
-        n = np.cumsum(n.reshape(steps + 1, -1), axis=0, dtype=np.int32)
-        out, spare, around = np.zeros((steps, len(items.ids)), bool), np.array(items.spare), -(-items.sizes // STEP)
-        for k in np.unique(around):
-            cols = np.flatnonzero(around == k)
-            m = np.ascontiguousarray(n[:, cols])
-            to = np.minimum(np.arange(steps) + 4 + k, steps)
-            out[:, cols] = m[to] - m[np.maximum(np.arange(steps) - k, 0)] > spare[cols]
-        return out
+        wide = 2 * steps + 8 * STEP
+        key = np.sort(item * wide + np.repeat(seg[at], k))
+        item, step = key // wide, key % wide
+        spare, around = np.array(items.spare, np.int64), -(-items.sizes // STEP)
+        last = np.arange(len(key)) + spare[item]
+        ok = np.flatnonzero(last < len(key))
+        ok = ok[item[last[ok]] == item[ok]]
+        # A window of 4 steps from t on, with `around` steps on both sides, has both ends of the run of spare + 1 words.
+        lo, hi = np.maximum(0, step[last[ok]] - 3 - around[item[ok]]), np.minimum(steps - 1, step[ok] + around[item[ok]])
+        some = hi >= lo
+        lo, n, item = lo[some], (hi - lo + 1)[some], item[ok][some]
+        t = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return t * len(items.ids) + np.repeat(item, n)
 
     def covered(spot: np.ndarray, bits: np.ndarray, item: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Places of the items whose words the texts spot[s:e] hold, in whole bits."""
@@ -279,12 +333,13 @@ def _search(items: Items, idf: np.ndarray, v: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, bits, each = items.members()
-        has = (bits > 0).astype(np.uint8)
         of = np.repeat(np.arange(len(items.ids)), [len(x) for x in items.rare])
         word = np.searchsorted(vocab, np.concatenate([*items.rare, np.zeros(0, np.uint64)]))
         size = np.bincount(word, minlength=len(vocab) + 1)
         rare = (np.cumsum(size) - size, size, of[np.argsort(word, kind="stable")])
         spare = np.array(items.spare, np.int64)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[vocab & np.uint64(0xFFFFF)] = True
         # Each window lies in some round together with the text around it.
         overlap = 5 + 2 * -(-int(items.sizes.max(initial=0)) // STEP)
         most = max(WORDS, 4 * STEP * overlap)
@@ -304,28 +359,32 @@ def _search(items: Items, idf: np.ndarray, v: np.ndarray):
                 else:
                     nxt = hi
                 cut, seg, sizes = windows(h[lo:hi], docs[lo:hi])
-                spot = np.searchsorted(vocab, h[lo:hi])
-                spot[vocab[np.minimum(spot, len(vocab) - 1)] != h[lo:hi]] = len(vocab)
-                count, cosines = held(spot, cut, has), []
+                spot = np.full(hi - lo, len(vocab))
+                some = np.flatnonzero(maybe[h[lo:hi] & np.uint64(0xFFFFF)])
+                at = np.searchsorted(vocab, h[lo:hi][some])
+                same = vocab[np.minimum(at, len(vocab) - 1)] == h[lo:hi][some]
+                spot[some[same]] = at[same]
+                held, cosines = around(spot, cut, bits), []
                 for x, b in sizes[::-1]:
                     cos = x @ items.vectors.T
                     hit = cos >= MIN_COSINE
                     if cosines:  # the longer window with the same start holds the text of the shorter
                         hit &= cosines[0] < MIN_COSINE
-                        win, item = np.nonzero(hit)
                     else:
-                        win, item = np.nonzero(hit | exact(spot, seg, len(cut), rare))
+                        hit.ravel()[exact(spot, seg, len(cut), rare)] = True
                     cosines.append(cos)
-                    near = hit[win, item]
+                    pair = np.flatnonzero(hit)
+                    win, item = np.divmod(pair, len(items.ids))
+                    near = cos.ravel()[pair] >= MIN_COSINE
                     doc = docs[lo + cut[win]]
                     s = np.maximum(begin[doc], lo + cut[win] - items.sizes[item])
                     e = np.minimum(begin[doc + 1], lo + b[win] + items.sizes[item])
-                    # Texts with too few of the item's words can't be leaks: first by counts of the steps around, then by
-                    # the places that the words match. Texts that reach beyond this round are compared without a bound.
+                    # Texts that match too few of the item's places can't be leaks: first by the steps that they lie in, then by
+                    # their words. Texts that reach beyond this round are compared without a bound.
                     inside = (s >= lo) & (e <= hi)
                     first, last = seg[np.maximum(s, lo) - lo], seg[np.minimum(e, hi) - 1 - lo]
                     need = np.where(near, PARAPHRASE * items.sizes[item], items.sizes[item] - spare[item])
-                    may = np.flatnonzero(np.where(inside, count[last + 1, item] - count[first, item] >= need, near))
+                    may = np.flatnonzero(np.where(inside, held(first, last, item) * each[item] >= need, near))
                     some = may[inside[may]]
                     enough = covered(spot, bits, item[some], s[some] - lo, e[some] - lo) * each[item[some]] >= need[some]
                     for k in np.sort(np.append(may[~inside[may]], some[enough])):
@@ -357,10 +416,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     df[list(counts)] = list(counts.values())
     weight = np.log((2 + n) / (1 + df)) - min(COMMON, np.log(1 + n) / 2)
     idf = np.maximum(0.0, weight)
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    picked = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    sample = materialize(items.select("text").unionByName(picked).repartition(SAMPLE_PARTS), "passages")
-    v = basis(sample, idf)
+    v = basis(texts, items, idf)
     # Blocks by gapless numbers: ids may repeat or be null.
     salt = [F.col("item_id"), F.col("text")]
     numbered = materialize(gapless_rank(items.withColumn("_k", F.lit(0)), ["_k"], salt, salt, items.count(), "no"), "items")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.llm import decontaminate, htmltext, langid, langmodel, linededup, neardup, packing, sharding, substrings, topk
+from citeloom.llm.common import text_bytes
 
 WORDS = ["alpha", "beta", "gamma", "delta", "über", "straße", "niño", "of", "the", "and", "la", "der"]
 
@@ -367,6 +368,52 @@ def test_decontamination_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == set(enumerate(ids))
 
 
+def test_decontamination_basis_of_all_documents(spark):
+    """The pass that the basis comes from takes in every passage of every document, also of more than 1,000."""
+    rng = random.Random(12)
+    made = [" ".join(f"u{i % 40}x{rng.randint(0, 9)}" for _ in range(rng.choice([1, 30, 48, 49, 120]))) for i in range(1500)]
+    texts = spark.createDataFrame([(t,) for t in made], "text string").repartition(3)
+    rng = np.random.default_rng(1)
+    idf = np.where(rng.random(decontaminate.FEATURES) < 0.1, 0, rng.random(decontaminate.FEATURES))
+    q = rng.normal(size=(decontaminate.FEATURES, 5))
+    want = np.zeros(q.shape)
+    for t in made:
+        words = decontaminate._terms(decontaminate._words(*text_bytes(pa.array([t])))[0])
+        for k in range(0, len(words), decontaminate.PASSAGE):
+            x = np.bincount(words[k : k + decontaminate.PASSAGE], minlength=decontaminate.FEATURES) * idf
+            if x.any():
+                x /= np.linalg.norm(x)
+                want += np.outer(x, x @ q)
+    assert np.allclose(decontaminate._summed(texts, q, idf), want, rtol=1e-3, atol=1e-3)
+    v = decontaminate.basis(texts, texts.limit(3), idf)
+    assert v.shape == (decontaminate.FEATURES, decontaminate.RANK) and np.allclose(v.T @ v, np.eye(decontaminate.RANK), atol=1e-6)
+
+
+def test_decontamination_of_paraphrases(spark):
+    """Recall against brute force: the comparison of every item with every stretch of every text."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [" ".join(rng.choices(vocab, k=30)) + ". " + " ".join(rng.choices(vocab, k=6)) + "." for _ in range(12)]
+    rows = []
+    for i in range(240):
+        words = items[i % 12].split()
+        for k in rng.sample(range(29), rng.randint(6, 16)):  # the last sentence stays
+            words[k] = rng.choice(vocab)
+        rows.append((i, " ".join([*rng.choices(vocab, k=60), *(words if i % 2 else []), *rng.choices(vocab, k=60)])))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = set()
+    for d, t in rows:
+        b = t.lower().split()
+        for i, item in enumerate(items):
+            a = item.replace(".", "").split()
+            share = max(decontaminate.lcs(a, b[k : k + len(a) + 12])[0] for k in range(0, len(b), 6)) / len(a)
+            if share >= decontaminate.PARAPHRASE and " ".join(a[-6:]) in t.replace(".", ""):
+                want.add((d, i))
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(want) > 60 and len(found & want) >= 0.9 * len(want)
+    assert all(i == d % 12 and d % 2 for d, i in found)
+
+
 def test_html(spark):
     pages = [
         (1, "http://a.x/1", "<body><header>h</header><nav>n</nav><article><h1>T &amp; t</h1><p>one\n two<p>three<div class='comments'><p>c</div></article><footer>f</footer>"),
