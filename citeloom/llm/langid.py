@@ -2,11 +2,12 @@
 
 Features are the hashed 1- to 3-grams of the lower-cased code points of a whole text, weighted by their share of the
 text's n-grams and by inverse document frequency over all learning documents. The labels are those of all learning
-documents. Weights are learned by the follow-the-regularised-leader rule with elastic-net penalties on a sample bounded by
-`sample` documents, spread evenly over the labels, so a rare language is learnt too; the sample travels as features, so its
-bytes are bounded by it. The L1 penalty is the largest of PENALTIES whose loss on a fifth of the sample that the weights
-never saw is within TOLERANCE of the least; most weights are zero under it. The same fifth fits the temperature that
-calibrates the probabilities. Prediction reads a text once and needs no shuffle.
+documents. Weights are learned from all of them by the follow-the-regularised-leader rule with elastic-net penalties: each
+task makes its steps over small groups of its documents, then the sums of gradients and of their squares are averaged over the
+tasks. A label with more than its equal share of the documents weighs as much as that share. A fifth of the documents, by a
+hash, is kept out; over all of it the losses under each of PENALTIES (of the leader) and each temperature are summed. The L1
+penalty is the largest whose loss is within TOLERANCE of the least, the temperature that of its least loss. Prediction reads a
+text once and needs no shuffle.
 
 A text that is null or holds no letter is `und` with score 0. Without learnable documents every text is `und`. Repeated
 rows are predicted each; rows with a null doc_id are learning rows; extra columns are ignored; an empty table gives no rows.
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import blocks, mix
 
-#: Hashed n-gram features; documents the weights are fitted on at most; passes over them.
-FEATURES, SAMPLE, PASSES = 1 << 16, 4000, 4
+#: Hashed n-gram features; few documents are passed over PASSES times at most, until MET have been met.
+FEATURES, PASSES, MET = 1 << 16, 4, 16000
+#: Documents of a step at most, and steps of a pass at least (of one document each, if there are so few); documents of a task at
+#: least; ranges of features that the tasks' sums are averaged in.
+GROUP, LEAST_STEPS, TASK_DOCS, RANGES = 32, 500, 4000, 64
 ALPHA, BETA, L2 = 0.3, 1.0, 1e-4
-#: L1 penalties to choose from, and the loss that the choice may cost.
+#: L1 penalties to choose from (the least holds while weights are learned), and the loss that the choice may cost; temperatures.
 PENALTIES, TOLERANCE = (0.01, 0.03, 0.1, 0.3), 0.02
+HEAT = np.exp(np.linspace(np.log(0.01), np.log(20), 241))
 _MARK = np.uint64(32)
 #: Bytes of text handled at once: each makes three n-grams of some hundred bytes of arrays.
 BLOCK = 1 << 19
@@ -90,18 +95,6 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(df[i], docs))], ["f", "n"])
 
 
-def _vector(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, share of the n-grams) of each document."""
-    cp, at = _code_points(data, offs)
-    grams = _grams(cp, at)
-    out = []
-    for d in range(len(offs) - 1):
-        x = np.concatenate([f[b[d] : b[d + 1]] for f, b in grams])
-        u, n = np.unique(x, return_counts=True)
-        out.append((u, n / max(1, len(x))))
-    return out
-
-
 class Model:
     """labels, idf, weights[FEATURES, labels], bias, temperature."""
 
@@ -110,44 +103,11 @@ class Model:
         self.labels, self.idf = labels, idf
         self.weights, self.bias, self.temperature = np.zeros((FEATURES, k), np.float32), np.zeros(k), 1.0
 
-    def fit(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
-        """The data are in hash order, so the last fifth is a random fifth."""
-        cut = max(1, len(y) * 4 // 5) if len(y) > 4 else len(y)
-        held = list(range(cut, len(y)) if cut < len(y) else range(len(y)))
-        target = y[held]
-        loss = lambda logits, t: -np.mean(np.log(np.maximum(_softmax(logits / t)[np.arange(len(target)), target], 1e-12)))
-        tried = []
-        for penalty in PENALTIES:
-            self._learn(vectors, y, cut, penalty, 1)
-            tried.append(loss(self._logits(vectors, held), 1.0))
-        self.penalty = max(p for p, x in zip(PENALTIES, tried, strict=True) if x <= min(tried) + TOLERANCE)
-        self._learn(vectors, y, cut, self.penalty, PASSES)
-        logits = self._logits(vectors, held)
-        grid = np.exp(np.linspace(np.log(0.01), np.log(20), 241))
-        self.temperature = float(grid[int(np.argmin([loss(logits, t) for t in grid]))])
-        return self
-
-    def _logits(self, vectors: list[tuple[np.ndarray, np.ndarray]], rows: list[int]) -> np.ndarray:
-        return np.array([self.weights[vectors[i][0]].T @ vectors[i][1] + self.bias for i in rows])
-
-    def _learn(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cut: int, penalty: float, passes: int) -> None:
-        k = len(self.labels)
-        z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
-        for step in range(passes):
-            for i in np.random.default_rng(step).permutation(cut):
-                f, tf = vectors[i]
-                f = np.append(f, FEATURES)
-                x = np.append(tf * self.idf[f[:-1]], 0.1)[:, None] * 10
-                zi, ni = z[f], n[f]
-                w = _leader(zi, ni, penalty)
-                p = _softmax(w.T @ x[:, 0])
-                g = x * (p - (np.arange(k) == y[i]))[None, :]
-                more = ni + g * g
-                z[f] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
-                n[f] = more
+    def settle(self, z: np.ndarray, n: np.ndarray, penalty: float, temperature: float) -> Model:
         w = _leader(z, n, penalty)
-        self.seen = n[:-1] > 0
+        self.seen, self.penalty, self.temperature = n[:-1] > 0, penalty, temperature
         self.weights, self.bias = (w[:-1] * self.idf[:, None] * 10).astype(np.float32), w[-1]
+        return self
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(label or -1, probability) of each document."""
@@ -175,16 +135,76 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The features of sampled texts: at most FEATURES of them, whatever a text's length."""
-    for batch, data, offs in blocks(batches, "text", BLOCK):
-        found = _vector(data, offs)
-        cols = [batch.column("o"), batch.column("lang"), pa.array([f.astype(np.int32).tobytes() for f, _ in found], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in found], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["o", "lang", "f", "w"])
+def _learner(z: np.ndarray, n: np.ndarray, idf: np.ndarray, labels: list[str], weigh: np.ndarray, group: int):
+    """Steps over a task's documents from (z, n): its (z, n) and the number of its documents, by ranges of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zs, ns, docs, k, scale = z.copy(), n.copy(), 0, len(labels), idf * 10
+        code = {x: j for j, x in enumerate(labels)}
+        ones = lambda n: np.ones(n, np.float32)
+        for batch, data, offs in blocks(batches, "text", BLOCK):
+            y = np.array([code[x] for x in batch.column("lang").to_pylist()])
+            cp, at = _code_points(data, offs)
+            grams = _grams(cp, at)
+            total = np.maximum(1, sum(np.diff(b) for _, b in grams))
+            for lo in range(0, len(y), group):
+                hi = min(lo + group, len(y))
+                w = _leader(zs, ns, PENALTIES[0])
+                table, size, logits = (w[:-1] * scale[:, None]).astype(np.float32), total[lo:hi, None], np.zeros((hi - lo, k))
+                for x, b in grams:
+                    for d in range(lo, hi):
+                        logits[d - lo] += ones(b[d + 1] - b[d]) @ table.take(x[b[d] : b[d + 1]], 0)
+                p = _softmax(logits / size + w[-1])
+                r = (p - (np.arange(k) == y[lo:hi, None])) * weigh[y[lo:hi], None]
+                g = np.zeros((FEATURES + 1, k))
+                f = np.concatenate([x[b[lo] : b[hi]] for x, b in grams])
+                many = np.concatenate([np.diff(b[lo : hi + 1]) for _, b in grams])
+                for j in range(k - 1):  # a document's gradients add up to nothing over the labels
+                    g[:-1, j] = np.bincount(f, np.repeat(np.tile(r[:, j] / size[:, 0], 3), many), FEATURES) * scale
+                g[-1, :-1] = r[:, :-1].sum(0)
+                g[:, -1] = -g[:, :-1].sum(1)
+                more = ns + g * g
+                zs += g - (np.sqrt(more) - np.sqrt(ns)) / ALPHA * w
+                ns = more
+            docs += len(y)
+        if docs:
+            parts = np.array_split(np.concatenate([zs, ns], 1).astype(np.float32), RANGES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([docs] * RANGES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "n", "m"])
+
+    return run
+
+
+def _mean(t: pa.Table) -> pa.Table:
+    n = t["n"].to_numpy()
+    mean = sum(k / n.sum() * np.frombuffer(m.as_py(), np.float32) for k, m in zip(n, t["m"], strict=True)).astype(np.float32)
+    return pa.table({"part": t["part"].slice(0, 1), "n": pa.array([n.sum()], pa.int64()), "m": pa.array([mean.tobytes()], pa.binary())})
+
+
+def _losses(z: np.ndarray, n: np.ndarray, idf: np.ndarray, labels: list[str], weigh: np.ndarray):
+    """The summed losses of a task's documents under each penalty and temperature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, code, sums = len(labels), {x: j for j, x in enumerate(labels)}, np.zeros((len(PENALTIES), len(HEAT)))
+        w = np.stack([_leader(z, n, p) for p in PENALTIES], 1)
+        table, bias = (w[:-1] * idf[:, None, None] * 10).astype(np.float32).reshape(FEATURES, -1), w[-1]
+        for batch, data, offs in blocks(batches, "text", BLOCK):
+            y = np.array([code[x] for x in batch.column("lang").to_pylist()])
+            logits, total = np.zeros((len(y), table.shape[1])), np.zeros(len(y))
+            for f, begin in _grams(*_code_points(data, offs)):
+                for d in range(len(y)):
+                    logits[d] += table.take(f[begin[d] : begin[d + 1]], 0).sum(0)
+                total += np.diff(begin)
+            logits = (logits / np.maximum(1, total)[:, None]).reshape(len(y), -1, k) + bias
+            for d in range(len(y)):
+                p = _softmax(logits[d][:, None, :] / HEAT[:, None])
+                sums -= weigh[y[d]] * np.log(np.maximum(p[:, :, y[d]], 1e-12))
+        yield pa.RecordBatch.from_arrays([pa.array(range(sums.size), pa.int32()), pa.array(sums.ravel())], ["i", "loss"])
+
+    return run
 
 
-def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
-    """docs: doc_id, text, lang. Frequencies and labels cover every row where `learn` holds; weights a sample of at most `sample` or so."""
+def train(docs: DataFrame, learn: Column) -> Model | None:
+    """docs: doc_id, text, lang. Everything is learnt from every row where `learn` holds; a fifth of them chooses penalty and temperature."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["f"]: r["n"] for r in rows.select("text").mapInArrow(_document_frequency, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     n = counts.pop(-1, 0)
@@ -192,14 +212,26 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
         return None
     df = np.zeros(FEATURES)
     df[list(counts)] = list(counts.values())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    labels, order = sorted(sizes), F.xxhash64("doc_id", F.lit(7))
-    limit = F.coalesce(*[F.when(F.col("lang") == x, int(min(1.0, sample / len(labels) / sizes[x]) * (1 << 30))) for x in labels])
-    picked = rows.where(F.pmod(order, F.lit(1 << 30)) < limit).select("text", "lang", order.alias("o"))
-    got = picked.mapInArrow(_sampled, "o long, lang string, f binary, w binary").toArrow().sort_by([("o", "ascending"), ("f", "ascending"), ("lang", "ascending")])
-    vectors = [(np.frombuffer(f, np.int32), np.frombuffer(w, np.float32)) for f, w in zip(got["f"].to_pylist(), got["w"].to_pylist(), strict=True)]
-    y = np.array([labels.index(x) for x in got["lang"].to_pylist()], np.int64)
-    return Model(labels, np.log((1 + n) / (1 + df)) + 1).fit(vectors, y) if len(y) else None
+    idf = np.log((1 + n) / (1 + df)) + 1
+    kept_out = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(5)) == 0
+    sizes = {(r["lang"], r["out"]): r["n"] for r in rows.groupBy("lang", kept_out.alias("out")).agg(F.count("*").alias("n")).collect()}
+    labels = sorted({x for x, _ in sizes})
+    taught = sum(c for (_, out), c in sizes.items() if not out)
+    split = 4 < n and 0 < taught < n
+    lessons, tests = (rows.where(~kept_out), rows.where(kept_out)) if split else (rows, rows)
+    taught = taught if split else n
+    weigh = np.array([min(1.0, n / len(labels) / sum(sizes.get((x, out), 0) for out in (False, True))) for x in labels])
+    state, k = np.zeros((FEATURES + 1, 2 * len(labels))), len(labels)
+    kind, group = "part int, n long, m binary", int(np.clip(taught // LEAST_STEPS, 1, GROUP))
+    for _ in range(int(np.clip(MET // taught, 1, PASSES))):
+        run = _learner(state[:, :k], state[:, k:], idf, labels, weigh, group)
+        got = lessons.select("text", "lang").coalesce(max(1, taught // TASK_DOCS)).mapInArrow(run, kind).groupBy("part").applyInArrow(_mean, kind).orderBy("part").collect()
+        state = np.concatenate([np.frombuffer(r["m"], np.float32) for r in got]).reshape(state.shape).astype(np.float64)
+    z, squares = state[:, :k], state[:, k:]
+    found = tests.select("text", "lang").mapInArrow(_losses(z, squares, idf, labels, weigh), "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("i").collect()
+    loss = np.array([r["loss"] for r in found]).reshape(len(PENALTIES), -1) / sum(weigh[labels.index(x)] * c for (x, out), c in sizes.items() if out or not split)
+    best = max(i for i in range(len(PENALTIES)) if loss[i].min() <= loss.min() + TOLERANCE)
+    return Model(labels, idf).settle(z, squares, PENALTIES[best], float(HEAT[int(np.argmin(loss[best]))]))
 
 
 def _predictor(model: Model | None):

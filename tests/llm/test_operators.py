@@ -488,6 +488,17 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_language_learns_all_rows(spark):
+    """Weights are learnt from every learning document but the fifth that chooses penalty and temperature."""
+    rows = [(i, f"{['the of and', 'der die das'][i % 2]} {chr(0x4E00 + i)}{chr(0x4E00 + i)}{chr(0x4E00 + i)}", ["en", "de"][i % 2]) for i in range(6000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True))
+    whole = 0
+    for _, t, _ in rows:
+        cp, at = langid._code_points(*text_bytes(pa.array([t])))
+        whole += all(model.seen[f].all() for f, _ in langid._grams(cp, at))
+    assert 0.75 * len(rows) < whole < 0.9 * len(rows)
+
+
 def test_language_model(spark, docs, texts):
     got = {r["doc_id"]: r for r in langmodel.score(docs).collect()}
     split = lambda t: [w for w in re.split(rb"[\x20\x09-\x0d]+", bytes((t or "").encode().translate(bytes(b + 32 if 65 <= b < 91 else b for b in range(256))))) if w]
