@@ -37,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a Parquet table in the shared folder and reads it again."""
+def materialize(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """Cuts the lineage: writes df as a Parquet table in the shared folder and reads it again. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -46,6 +46,9 @@ HOT, BROADCAST_BYTES, BUCKETED_BYTES = 20_000, 40 << 20, 2 << 30
 PART_BYTES, GROUP_BYTES, MOST_PARTS = 32 << 20, 8 << 20, 50_000
 #: Width of the trigger, mean length of a phrase, width of a piece.
 TRIGGER, PHRASE, PIECE = 16, 192, 28
+#: How rows are written: so many to a row group. Else the writer looks at a group's size from 100 rows on only, and groups of 100 MB and more
+#: stand, which a reader holds at once, its vector doubled.
+_SMALL_GROUPS = {"parquet.block.size": GROUP_BYTES, "parquet.block.row.count.limit": GROUP_BYTES // ROW_BYTES, "parquet.page.size.row.check.min": 1}
 _MOST = (1 << 63) - 1
 _ROW = "row long, ids array<long>, offs array<int>, starts array<int>, data binary"
 _NONE = np.zeros(0, np.int64)
@@ -400,13 +403,13 @@ def _finish(span: int):
 def _corpus(docs: DataFrame, bucketed_from: int) -> tuple[DataFrame, int]:
     """The rows, and their bytes. A large corpus is dealt by row into a bucketed table, so joins on `row` leave it in place."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(slim.mapInArrow(_rows, _ROW), "rows")
+    rows = materialize(slim.mapInArrow(_rows, _ROW), "rows", **_SMALL_GROUPS)
     total = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     if total < bucketed_from:
         return rows, total
     spark, parts, name = docs.sparkSession, int(min(MOST_PARTS, max(8, total // PART_BYTES))), f"rows_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{name}"
-    rows.repartition(parts, "row").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("path", path).bucketBy(parts, "row").sortBy("row").saveAsTable(name)
+    rows.repartition(parts, "row").write.options(compression="zstd", path=path, **_SMALL_GROUPS).bucketBy(parts, "row").sortBy("row").saveAsTable(name)
     return spark.table(name), total
 
 

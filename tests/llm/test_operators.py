@@ -178,6 +178,20 @@ def test_substring_pieces_spread():
     assert n.sum() > 10_000 and n.max() < 2 * n.mean()
 
 
+@pytest.mark.parametrize("bucketed_from", [0, 1 << 60])
+def test_substring_row_groups(spark, bucketed_from):
+    """Rows of a megabyte stand in row groups of 8 MB: before, all of a task, up to 100 and more, stood in one, which a reader holds at once."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id + 10 AS string), 500000) AS text")
+    rows, total = substrings._corpus(docs, bucketed_from)
+    files = [pq.ParquetFile(urlparse(f).path).metadata for f in rows.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert total == 40_000_000 and rows.count() == sum(groups) and max(groups) * substrings.ROW_BYTES <= substrings.GROUP_BYTES
+
+
 @pytest.mark.parametrize("hot_rows, bucketed_from", [(substrings.HOT, 0), (1, 1 << 60), (0, 0)])
 def test_substrings_other_ways(spark, texts, hot_rows, bucketed_from):
     rng = random.Random(3)
